@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import brown_lm, language_id, quality_classifier, quality_rules
+from weft.llm import brown_lm, language_id, mixing, piece_codec, quality_classifier, quality_rules, sharding
 from weft.llm.common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.in_order(mixed.select("doc_id", "size", "source_size", "target", "taken", "position"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(table(spark, sf_dir, "documents"), give=piece_codec.DIGEST)
+
+
 def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.lm_score(table(spark, sf_dir, "documents"))
 
@@ -27,7 +40,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op8_brown_lm, op9_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_hilbert_sharding, op7_sentencepiece, op8_brown_lm, op9_language_id, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
