@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import brown_lm, language_id, mixing, piece_codec, quality_classifier, quality_rules, sharding
+from weft.llm import brown_lm, jaccard_join, language_id, maxscore, mixing, passages, piece_codec, quality_classifier, quality_rules, sharding
 from weft.llm.common import table
 
 
@@ -23,6 +23,18 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
+def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"), give=piece_codec.DIGEST)
 
@@ -40,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_hilbert_sharding, op7_sentencepiece, op8_brown_lm, op9_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_hilbert_sharding, op4_jaccard_join, op5_passages, op6_maxscore, op7_sentencepiece, op8_brown_lm, op9_language_id, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
