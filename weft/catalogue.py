@@ -2,10 +2,533 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.functions import text as X
+from weft.operators import clusters as C
+from weft.operators import context as K
+from weft.operators import graph as G
+from weft.sources.html import html_fragments
+from weft.sources.tables import line_fragments, shaped, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+#: Fragments of documents, hashed at both levels, and the clusters of each.
+FRAGMENTS = """
+lines AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS seq FROM documents),
+placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at FROM lines),
+tokens AS (SELECT doc_id, source, lang, seq, start_at, start_at + length(line) AS end_at, line, list_filter(string_split(line, ' '), lambda w: w <> '') AS words FROM placed),
+floored AS (SELECT *, len(words)::BIGINT AS n_words, list_filter(words, lambda w: NOT regexp_matches(w, '[0-9]')) AS ids FROM tokens WHERE len(words) >= 4),
+named AS (SELECT *, list_filter(ids, lambda t, i: list_position(ids, t) = i) AS names FROM floored),
+frags AS (SELECT *, md5(array_to_string(words, ' ')) AS l0,
+  md5(array_to_string(list_transform(words, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN 'Num' ELSE 'Id#' || list_position(names, t) END), ' ')) AS l1,
+  (len(words) - len(ids)) / len(words) AS literal_share FROM named),
+c0 AS (SELECT l0 AS cluster_id, count(*) AS copies, count(DISTINCT doc_id) AS files, count(DISTINCT source) AS modules, min(n_words) AS node_count FROM frags GROUP BY 1 HAVING count(*) > 1),
+k0 AS (SELECT *, node_count * (copies - 1) AS mass FROM c0),
+k1 AS (SELECT *, node_count * (copies - 1) AS mass FROM (SELECT l1 AS cluster_id, count(*) AS copies, count(DISTINCT doc_id) AS files, count(DISTINCT source) AS modules, min(n_words) AS node_count
+  FROM frags WHERE literal_share < 0.35 GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT l0) > 1)),
+o0 AS (SELECT f.*, cluster_id FROM frags f JOIN k0 ON l0 = cluster_id),
+scored AS (SELECT *, CASE WHEN tests = 0 THEN 'source' WHEN tests = copies THEN 'test' ELSE 'mixed' END AS tag,
+  greatest(0, (copies - 1) * (lines_per_copy - 1) - 2) AS recoverable_lines,
+  round(greatest(0, (least(copies, 10 * files) - 1) * (lines_per_copy - 1) - 2) * CASE WHEN modules > 1 THEN 2.5 WHEN files > 1 THEN 1.4 ELSE 0.8 END
+    * (0.4 + 0.6 * (1 - tests / copies)) * (0.2 + 0.8 * parents / copies), 4) AS score
+  FROM (SELECT cluster_id, count(*) AS copies, count(DISTINCT doc_id) AS files, count(DISTINCT source) AS modules, count(*) FILTER (lang <> 'en') AS tests,
+    count(DISTINCT doc_id) AS parents, median(n_words) AS lines_per_copy FROM o0 GROUP BY 1))"""
+
+#: Who buys from whom: a customer's nation imports from a supplier's; a returned line is an erased binding.
+TRADE = """
+bindings AS (SELECT n.n_name AS src, m.n_name AS dst, l_suppkey AS target, l_returnflag = 'R' AS erased, 'L' || l_linenumber AS origin FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN nation n ON c_nationkey = n.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation m ON s_nationkey = m.n_nationkey),
+edges AS (SELECT src, dst, count(*) AS weight, count(*) FILTER (erased) AS erased, bool_and(erased) AS type_only FROM bindings WHERE src <> dst GROUP BY 1, 2),
+heavy AS (SELECT src, dst FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 2)"""
+REACH = """, reach AS (SELECT src, dst FROM heavy UNION SELECT r.src, h.dst FROM reach r JOIN heavy h ON r.dst = h.src),
+comp AS (SELECT n_name AS node, least(n_name, coalesce((SELECT min(a.dst) FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src = n_name), n_name)) AS component FROM nation)"""
+
+
+def query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
+
+
+def _fragments(spark: SparkSession, d: str) -> DataFrame:
+    return shaped(line_fragments(table(spark, d, "documents")))
+
+
+def _copies(spark: SparkSession, d: str, level: str = "L0") -> DataFrame:
+    fragments = _fragments(spark, d)
+    return C.occurrences(fragments, C.groups(fragments, level), level)
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return C.scored(_copies(spark, d), F.col("lang") != "en", F.col("n_words"))
+
+
+CLUSTER_COLUMNS = "cluster_id, copies, files, modules, node_count, mass"
+
+
+@query(f"WITH {FRAGMENTS} SELECT {CLUSTER_COLUMNS} FROM k0")
+def dup_lines_l0(spark, d):
+    return C.groups(_fragments(spark, d)).drop("level").orderBy(F.desc("mass"), "cluster_id")
+
+
+@query("SELECT md5(text) AS cluster_id, count(*) AS copies, min(doc_id) AS first_doc, min(n_chars) * (count(*) - 1) AS mass FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_documents_l0(spark, d):
+    made = table(spark, d, "documents").groupBy(F.md5("text").alias("cluster_id")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.min("n_chars").alias("n")).where("copies > 1")
+    return made.select("cluster_id", "copies", "first_doc", (F.col("n") * (F.col("copies") - 1)).alias("mass"))
+
+
+@query(f"WITH {FRAGMENTS} SELECT {CLUSTER_COLUMNS} FROM k1")
+def dup_lines_l1(spark, d):
+    return C.groups(_fragments(spark, d), "L1").drop("level")
+
+
+@query(f"WITH {FRAGMENTS} SELECT l1 AS cluster_id, min(l0) AS l0, count(*) AS copies FROM frags WHERE literal_share < 0.35 GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT l0) = 1")
+def l1_suppressed(spark, d):
+    return C.suppressed(_fragments(spark, d))
+
+
+@query(f"WITH {FRAGMENTS} SELECT doc_id, seq, round(literal_share, 6) AS literal_share FROM frags WHERE literal_share > 0")
+def literal_share(spark, d):
+    return _fragments(spark, d).where("literal_share > 0").select("doc_id", F.col("seq").cast("long"), F.round("literal_share", 6).alias("literal_share"))
+
+
+@query(f"WITH {FRAGMENTS} SELECT count(*) AS clusters, sum(mass)::BIGINT AS duplicated_mass FROM k0")
+def duplicated_mass(spark, d):
+    return C.groups(_fragments(spark, d)).agg(F.count("*").alias("clusters"), F.sum("mass").alias("duplicated_mass"))
+
+
+@query(f"""WITH {FRAGMENTS},
+extra AS (SELECT DISTINCT doc_id, source, start_at, end_at FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id, start_at, end_at, seq) AS rn FROM o0) WHERE rn > 1),
+swept AS (SELECT *, greatest(0, end_at - greatest(start_at, coalesce(max(end_at) OVER (PARTITION BY doc_id ORDER BY start_at, end_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start_at))) AS new FROM extra)
+SELECT doc_id, sum(new)::BIGINT AS covered FROM swept GROUP BY 1""")
+def redundant_coverage(spark, d):
+    return C.covered(C.redundant(_copies(spark, d)))
+
+
+@query(f"WITH {FRAGMENTS} SELECT cluster_id, copies, mass FROM k0 ORDER BY mass DESC, cluster_id LIMIT 40")
+def cluster_top_k(spark, d):
+    return C.top(C.groups(_fragments(spark, d))).select("cluster_id", "copies", "mass")
+
+
+@query(f"WITH {FRAGMENTS} SELECT cluster_id, copies, files, modules, tests, parents, lines_per_copy, recoverable_lines, score, tag FROM scored")
+def recoverable_score(spark, d):
+    return _scores(spark, d)
+
+
+@query(f"WITH {FRAGMENTS} SELECT cluster_id, round(0.2 + 0.8 * count(DISTINCT doc_id) / count(*), 6) AS weight FROM o0 GROUP BY 1")
+def sibling_weight(spark, d):
+    return _scores(spark, d).select("cluster_id", F.round(C.PARENT_WEIGHT + (1 - C.PARENT_WEIGHT) * F.col("parents") / F.col("copies"), 6).alias("weight"))
+
+
+@query(f"WITH {FRAGMENTS} SELECT CASE WHEN 2 * tests >= copies THEN 'test' ELSE 'production' END AS section, count(*) AS clusters FROM scored GROUP BY 1")
+def section_split(spark, d):
+    return _scores(spark, d).groupBy(C.section().alias("section")).agg(F.count("*").alias("clusters"))
+
+
+@query(f"""WITH {FRAGMENTS} SELECT CASE WHEN recoverable_lines >= 100 THEN '100+' WHEN recoverable_lines >= 30 THEN '30-99' WHEN recoverable_lines >= 10 THEN '10-29' WHEN recoverable_lines >= 4 THEN '4-9'
+WHEN recoverable_lines >= 1 THEN '1-3' ELSE '0' END AS band, count(*) AS clusters FROM scored WHERE 2 * tests < copies GROUP BY 1""")
+def census_bands(spark, d):
+    return C.census(_scores(spark, d))
+
+
+@query(f"WITH {FRAGMENTS} SELECT count(*) FILTER (files = 1) AS single_file, count(*) AS clusters FROM k0")
+def single_file_clusters(spark, d):
+    return C.groups(_fragments(spark, d)).agg(F.count_if(F.col("files") == 1).alias("single_file"), F.count("*").alias("clusters"))
+
+
+def _documents_as_fragments(spark: SparkSession, d: str) -> DataFrame:
+    words = X.words(F.regexp_replace("text", "\n", " "))
+    whole = table(spark, d, "documents").select(
+        "doc_id", "source", "lang", F.lit(0).alias("seq"), F.lit(0).cast("long").alias("start_at"), F.length("text").cast("long").alias("end_at"), F.size(words).alias("n_words"),
+        F.md5("text").alias("l0"), F.md5("text").alias("l1"), F.lit(0.0).alias("literal_share"),
+    )
+    return whole.where("end_at > 0")
+
+
+@query(f"""WITH {FRAGMENTS},
+outer_ AS (SELECT doc_id, md5(text) AS outer_id, length(text) AS z FROM documents WHERE length(text) > 0 AND md5(text) IN (SELECT md5(text) FROM documents GROUP BY 1 HAVING count(*) > 1))
+SELECT outer_id, cluster_id AS inner_id, count(DISTINCT (doc_id, start_at, end_at, seq)) AS contained, any_value(copies) AS "of" FROM outer_ JOIN o0 USING (doc_id) JOIN k0 USING (cluster_id)
+WHERE end_at <= z AND outer_id <> cluster_id GROUP BY 1, 2""")
+def containment_pairs(spark, d):
+    whole = _documents_as_fragments(spark, d)
+    return C.containment(C.occurrences(whole, C.groups(whole)), _copies(spark, d))
+
+
+@query(f"""WITH {FRAGMENTS},
+outer_ AS (SELECT doc_id, md5(text) AS outer_id, len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> '')) AS n FROM documents WHERE length(text) > 0 AND md5(text) IN (SELECT md5(text) FROM documents GROUP BY 1 HAVING count(*) > 1)),
+held AS (SELECT outer_id, cluster_id, min(n) AS n, count(*) AS contained FROM outer_ JOIN o0 USING (doc_id) WHERE outer_id <> cluster_id GROUP BY 1, 2)
+SELECT cluster_id, copies, mass FROM k0 WHERE NOT EXISTS (FROM held h WHERE h.cluster_id = k0.cluster_id AND h.contained >= 0.8 * k0.copies AND (h.n > k0.node_count OR (h.n = k0.node_count AND h.outer_id < k0.cluster_id)))
+UNION SELECT md5(text), count(*), min(len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> ''))) * (count(*) - 1) FROM documents WHERE length(text) > 0 AND md5(text) NOT IN (SELECT cluster_id FROM k0) GROUP BY 1 HAVING count(*) > 1""")
+def subsume(spark, d):
+    _checkpoint_folder(spark)
+    whole = _documents_as_fragments(spark, d)
+    outer = C.groups(whole)
+    inner = C.groups(_fragments(spark, d))
+    pairs = C.containment(C.occurrences(whole, outer), _copies(spark, d))
+    every = inner.union(outer.join(inner.select("cluster_id"), "cluster_id", "left_anti"))
+    return C.subsume(pairs, every).select("cluster_id", "copies", "mass")
+
+
+@query(f"""WITH {FRAGMENTS}, emitted AS (SELECT cluster_id AS id FROM k0 ORDER BY mass DESC, cluster_id LIMIT 200),
+firsts AS (SELECT cluster_id AS id, doc_id, start_at, end_at, words FROM o0 WHERE cluster_id IN (SELECT id FROM emitted) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id, start_at, seq) = 1),
+grams AS (SELECT DISTINCT id, doc_id, start_at, end_at, array_to_string(words[g:g+4], ' ') AS gram FROM (SELECT *, unnest(range(1, len(words) - 3)) AS g FROM firsts)),
+size AS (SELECT id, count(*) AS n FROM grams GROUP BY 1),
+shared AS (SELECT a.id, b.id AS variant, count(*) AS k FROM grams a JOIN grams b USING (gram) WHERE a.id <> b.id AND NOT (a.doc_id = b.doc_id AND a.start_at < b.end_at AND b.start_at < a.end_at) GROUP BY 1, 2),
+sim AS (SELECT shared.id, variant, round(k / (s.n + t.n - k), 6) AS similarity FROM shared JOIN size s ON s.id = shared.id JOIN size t ON t.id = variant)
+SELECT id, variant, similarity, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, variant)::INT AS place FROM sim WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, variant) <= 3""")
+def near_variants(spark, d):
+    return K.near_variants(_emitted(spark, d, 200))
+
+
+def _emitted(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """First copies of the k heaviest clusters, with their words."""
+    lines = line_fragments(table(spark, d, "documents")).withColumn("l0", X.stream_hash(F.col("words")))
+    some = C.top(C.groups(shaped(lines.drop("l0"))), k).select("cluster_id")
+    rows = lines.join(some, lines.l0 == some.cluster_id).groupBy(F.col("cluster_id").alias("id")).agg(F.min(F.struct("doc_id", "start_at", "seq", "end_at", "words")).alias("x"))
+    return rows.select("id", "x.doc_id", "x.start_at", "x.end_at", "x.words")
+
+
+@query()
+def minhash_lsh_pairs(spark, d):
+    return K.lsh_pairs(_emitted(spark, d, 1000))
+
+
+L1_COPIES = """copies AS (SELECT cluster_id, doc_id, seq, words FROM frags JOIN k1 ON l1 = cluster_id WHERE literal_share < 0.35)"""
+
+
+def _l1_copies(spark: SparkSession, d: str) -> DataFrame:
+    lines = line_fragments(table(spark, d, "documents"))
+    hashed = lines.select("doc_id", "seq", "words", X.stream_hash(X.alpha_rename(F.col("words"))).alias("cluster_id"), X.literal_share(F.col("words")).alias("literal_share")).where(F.col("literal_share") < C.LITERAL_LIMIT)
+    return hashed.join(C.groups(shaped(lines), "L1").select("cluster_id"), "cluster_id").withColumn("copy", F.struct("doc_id", "seq"))
+
+
+@query(f"""WITH {FRAGMENTS}, {L1_COPIES}, spread AS (SELECT cluster_id, unnest(words) AS token, generate_subscripts(words, 1) - 1 AS pos FROM copies),
+made AS (SELECT cluster_id, pos, count(DISTINCT token) AS n, min(token) AS token, bool_or(NOT regexp_matches(token, '[0-9]')) AS is_named FROM spread GROUP BY 1, 2),
+labelled AS (SELECT *, coalesce(last_value(CASE WHEN n = 1 AND is_named THEN token END IGNORE NULLS) OVER (PARTITION BY cluster_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'an unnamed literal') AS label FROM made)
+SELECT cluster_id, pos AS position, label, n AS distinct_values FROM labelled WHERE n > 1 AND NOT is_named""")
+def variation_labels(spark, d):
+    return K.variations(_l1_copies(spark, d)).select("cluster_id", F.col("at").cast("long").alias("position"), "label", "distinct_values")
+
+
+@query(f"""WITH {FRAGMENTS}, {L1_COPIES}, spread AS (SELECT cluster_id, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM copies),
+made AS (SELECT cluster_id, pos, count(DISTINCT token) AS names, bool_and(NOT regexp_matches(token, '[0-9]')) AS field FROM spread GROUP BY 1, 2)
+SELECT cluster_id, count(*) FILTER (names > 1) AS varying, count(*) AS total FROM made WHERE field GROUP BY 1""")
+def field_drift(spark, d):
+    return K.field_drift(_l1_copies(spark, d))
+
+
+# ---- graphs
+
+
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """The shared folder that the session names; a local one only where none is named, as in tests."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
+
+
+def _bindings(spark: SparkSession, d: str) -> DataFrame:
+    t = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer", "supplier", "nation")}
+    buyer, seller = (t["nation"].select(F.col("n_nationkey").alias(f"{s}_nationkey"), F.col("n_name").alias(n)) for s, n in (("c", "src"), ("s", "dst")))
+    return (
+        t["lineitem"].select("l_orderkey", "l_suppkey", "l_returnflag", "l_linenumber")
+        .join(t["orders"].select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(t["customer"].select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(t["supplier"].select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(buyer, "c_nationkey").join(seller, "s_nationkey")
+        .select("src", "dst", F.col("l_suppkey").alias("target"), (F.col("l_returnflag") == "R").alias("erased"), F.concat(F.lit("L"), F.col("l_linenumber")).alias("origin"))
+    )
+
+
+def _heavy(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
+    return G.module_edges(_bindings(spark, d)).withColumn("rank", rank).where("rank <= 2").select("src", "dst")
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select(F.col("n_name").alias("node"))
+
+
+def _components(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    _checkpoint_folder(spark)
+    edges = _heavy(spark, d).checkpoint()
+    return edges, G.scc(G.closure(edges), _nodes(spark, d))
+
+
+@query(f"WITH {TRADE} SELECT * FROM edges")
+def module_edges(spark, d):
+    return G.module_edges(_bindings(spark, d))
+
+
+@query(f"WITH {TRADE} SELECT src, dst, arg_min(target, (-w, target)) AS top_target, max(w) AS top_weight FROM (SELECT src, dst, target, count(*) AS w FROM bindings WHERE src <> dst GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def top_target(spark, d):
+    return G.top_target(_bindings(spark, d))
+
+
+@query(f"WITH {TRADE} SELECT src, dst, arg_min(origin, (-n, origin)) AS origin, max(n) AS votes FROM (SELECT src, dst, origin, count(*) AS n FROM bindings WHERE src <> dst GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def mode_origin(spark, d):
+    return G.mode_origin(_bindings(spark, d))
+
+
+@query(f"WITH {TRADE} SELECT src, dst, count(*) AS weight, count(*) FILTER (erased) AS erased, bool_and(erased) AS type_only FROM bindings WHERE src <> dst AND target % 7 = 0 GROUP BY 1, 2 HAVING bool_and(erased)")
+def type_only_edges(spark, d):
+    return G.module_edges(_bindings(spark, d).where("target % 7 = 0"), "only")
+
+
+@query(f"WITH RECURSIVE {TRADE}{REACH} SELECT * FROM reach")
+def closure(spark, d):
+    _checkpoint_folder(spark)
+    return G.closure(_heavy(spark, d))
+
+
+@query(f"WITH RECURSIVE {TRADE}{REACH} SELECT (SELECT count(*) FROM nation) AS modules, (SELECT count(*) FROM reach) AS pairs, round((SELECT count(*) FROM reach) / ((SELECT count(*) FROM nation) * (SELECT count(*) FROM nation)), 6) AS cost")
+def propagation_cost(spark, d):
+    _checkpoint_folder(spark)
+    return G.propagation_cost(G.closure(_heavy(spark, d)), _nodes(spark, d))
+
+
+@query(f"WITH RECURSIVE {TRADE}{REACH} SELECT * FROM comp")
+def scc(spark, d):
+    return _components(spark, d)[1]
+
+
+@query(f"WITH RECURSIVE {TRADE}{REACH} SELECT src, dst, a.component FROM heavy JOIN comp a ON a.node = src JOIN comp b ON b.node = dst WHERE a.component = b.component")
+def scc_edges(spark, d):
+    return G.inner_edges(*_components(spark, d))
+
+
+@query(f"WITH RECURSIVE {TRADE}{REACH} SELECT coalesce(max(n), 0) AS largest FROM (SELECT count(*) AS n FROM comp GROUP BY component HAVING count(*) > 1)")
+def largest_scc(spark, d):
+    return G.component_sizes(_components(spark, d)[1]).agg(F.coalesce(F.max("size"), F.lit(0)).alias("largest"))
+
+
+RUNTIME = TRADE.replace("QUALIFY", "WHERE erased * 4 < weight QUALIFY")
+
+
+@query(f"WITH RECURSIVE {RUNTIME}{REACH} SELECT * FROM comp")
+def runtime_scc(spark, d):
+    from pyspark.sql import Window
+
+    _checkpoint_folder(spark)
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
+    kept = G.module_edges(_bindings(spark, d)).where("erased * 4 < weight").withColumn("rank", rank).where("rank <= 2").select("src", "dst").checkpoint()
+    return G.scc(G.closure(kept), _nodes(spark, d))
+
+
+@query(f"""WITH RECURSIVE {TRADE}{REACH} SELECT CASE WHEN regions > 1 THEN 'crossing' ELSE 'within' END AS kind, count(*) AS cycles, max(n) AS largest FROM (SELECT component, count(*) AS n, count(DISTINCT n_regionkey) AS regions
+FROM comp JOIN nation ON n_name = node GROUP BY 1 HAVING count(*) > 1) GROUP BY 1""")
+def cycles_crossing_vs_within(spark, d):
+    region = table(spark, d, "nation").select(F.col("n_name").alias("node"), "n_regionkey")
+    made = _components(spark, d)[1].join(region, "node").groupBy("component").agg(F.count("*").alias("n"), F.count_distinct("n_regionkey").alias("regions")).where("n > 1")
+    return made.groupBy(F.when(F.col("regions") > 1, "crossing").otherwise("within").alias("kind")).agg(F.count("*").alias("cycles"), F.max("n").alias("largest"))
+
+
+@query()
+def cut_search(spark, d):
+    """Cuts of the tangles of the report's module graph, which has at most 64 modules by construction."""
+    edges, components = _components(spark, d)
+    weights = G.module_edges(_bindings(spark, d)).join(edges, ["src", "dst"], "left_semi")
+    rows: dict[str, list[dict]] = {}
+    for r in G.inner_edges(weights, components).collect():
+        rows.setdefault(r["component"], []).append(r.asDict())
+    found = [x for c in sorted(rows) for x in G.cut_search(sorted({e[s] for e in rows[c] for s in ("src", "dst")}), rows[c])]
+    return spark.createDataFrame([(x["component"], x["src"], x["dst"], x["weight"], x["residual"]) for x in found], "component string, src string, dst string, weight long, residual int")
+
+
+PASSING = """passing AS (SELECT src, dst, count(*) AS weight, count(*) FILTER (origin IN ('L1', 'L2', 'L3')) AS pass_through, arg_min(origin, (-n, origin)) AS origin
+FROM (SELECT *, count(*) OVER (PARTITION BY src, dst, origin) AS n FROM bindings WHERE src <> dst) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {TRADE}, {PASSING} SELECT * FROM passing WHERE weight > 0 AND pass_through >= 0.5 * weight AND origin <> dst")
+def dissolves(spark, d):
+    b = _bindings(spark, d)
+    through = b.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"), F.count_if(F.col("origin").isin("L1", "L2", "L3")).alias("pass_through"))
+    return G.dissolves(through.join(G.mode_origin(b).drop("votes"), ["src", "dst"]), 0.5)
+
+
+PATHS = "paths AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)"
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+
+
+@query(f"""WITH {PATHS}, dirs AS (SELECT path, string_split(path, '/')[:-2] AS dirs FROM paths), base AS (SELECT count(*) AS files, least(64, greatest(8, round(sqrt(count(*)))))::BIGINT AS goal FROM paths),
+choices AS (SELECT depth, count(DISTINCT CASE WHEN len(dirs) = 0 THEN '<root>' ELSE array_to_string(dirs[:depth], '/') END) AS modules FROM dirs, range(1, 7) t(depth) GROUP BY 1 UNION ALL SELECT 7, count(DISTINCT path) FROM dirs)
+SELECT files, goal, CASE WHEN depth = 7 THEN 'file' ELSE 'dir:' || depth END AS label, modules FROM choices, base ORDER BY abs(modules - goal), depth LIMIT 1""")
+def granularity_choice(spark, d):
+    return G.granularity(_paths(spark, d))
+
+
+@query(f"WITH {PATHS}, e AS (SELECT string_split(min(path), '/')[:-2] AS a, string_split(max(path), '/')[:-2] AS b FROM paths), n AS (SELECT a, coalesce((SELECT min(i) - 1 FROM range(1, greatest(len(a), len(b)) + 1) t(i) WHERE a[i] IS DISTINCT FROM b[i]), len(a)) AS depth FROM e) SELECT array_to_string(a[:depth], '/') AS prefix, depth FROM n")
+def common_prefix(spark, d):
+    return G.shared_prefix(_paths(spark, d))
+
+
+@query(f"WITH {PATHS}, m AS (SELECT CASE WHEN len(string_split(path, '/')) = 1 THEN '<root>' ELSE array_to_string(string_split(path, '/')[:-2], '/') END AS module FROM paths) SELECT module, count(*) AS files FROM m GROUP BY 1")
+def group_by_directory(spark, d):
+    return _paths(spark, d).groupBy(X.module_by_depth(F.col("path"), None).alias("module")).agg(F.count("*").alias("files"))
+
+
+# ---- context: customers import parts; a nation's customers of a market segment are a cluster's files
+
+USES = """uses AS (SELECT DISTINCT c_custkey AS file, l_suppkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+members AS (SELECT c_mktsegment || '/' || c_nationkey AS cluster_id, c_custkey AS file FROM customer)"""
+
+
+def _uses(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("file"))
+    return table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("target")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("file", "target").distinct()
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.concat_ws("/", "c_mktsegment", "c_nationkey").alias("cluster_id"), F.col("c_custkey").alias("file"))
+
+
+@query(f"WITH {USES} SELECT target AS file, count(*) AS importers FROM uses GROUP BY 1")
+def import_index(spark, d):
+    return _uses(spark, d).groupBy(F.col("target").alias("file")).agg(F.count("*").alias("importers"))
+
+
+@query(f"""WITH {USES}, size AS (SELECT cluster_id, count(*) AS n_files FROM members GROUP BY 1 HAVING count(*) >= 2), ins AS (SELECT cluster_id, target, count(*) AS k FROM members JOIN uses USING (file) GROUP BY 1, 2),
+imp AS (SELECT target, count(*) AS n FROM uses GROUP BY 1)
+SELECT cluster_id, target, n_files, n - k AS outside FROM ins JOIN size USING (cluster_id) JOIN imp USING (target) WHERE k = n_files AND n - k <= 0.9 * ((SELECT count(DISTINCT file) FROM uses) - n_files)""")
+def shared_imports(spark, d):
+    return K.shared_imports(_members(spark, d), _uses(spark, d), ubiquity=0.9)
+
+
+SELLS = """sells AS (SELECT DISTINCT s_nationkey AS file, c_nationkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49),
+groups AS (SELECT 'region ' || n_regionkey AS cluster_id, n_nationkey AS file FROM nation)"""
+
+
+def _sells(spark: SparkSession, d: str) -> DataFrame:
+    t = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer", "supplier")}
+    made = t["lineitem"].where("l_quantity >= 49").join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
+    return made.select(F.col("s_nationkey").alias("file"), F.col("c_nationkey").alias("target")).distinct()
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select(F.concat(F.lit("region "), F.col("n_regionkey")).alias("cluster_id"), F.col("n_nationkey").alias("file"))
+
+
+@query(f"WITH {SELLS} SELECT DISTINCT g.cluster_id, s.file FROM groups g JOIN sells s ON s.target = g.file WHERE NOT EXISTS (FROM groups m WHERE m.cluster_id = g.cluster_id AND m.file = s.file)")
+def dependents(spark, d):
+    return K.dependents(_regions(spark, d), _sells(spark, d))
+
+
+@query(f"""WITH {SELLS}, direct AS (SELECT DISTINCT g.cluster_id, s.file FROM groups g JOIN sells s ON s.target = g.file WHERE NOT EXISTS (FROM groups m WHERE m.cluster_id = g.cluster_id AND m.file = s.file)),
+barrels AS (SELECT * FROM direct WHERE file % 5 = 0)
+SELECT DISTINCT b.cluster_id, s.file FROM barrels b JOIN sells s ON s.target = b.file WHERE NOT EXISTS (FROM groups m WHERE m.cluster_id = b.cluster_id AND m.file = s.file) AND NOT EXISTS (FROM direct m WHERE m.cluster_id = b.cluster_id AND m.file = s.file)""")
+def barrel_dependents(spark, d):
+    """A nation whose key 5 divides stands for a file that only forwards."""
+    members, uses = _regions(spark, d), _sells(spark, d)
+    direct = K.dependents(members, uses)
+    second = K.dependents(direct.where("file % 5 = 0"), uses)
+    return second.join(members, ["cluster_id", "file"], "left_anti").join(direct, ["cluster_id", "file"], "left_anti")
+
+
+@query("""WITH hops AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey % 3 <> 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey % 5 = 0),
+only_ AS (SELECT src, min(dst) AS dst FROM hops GROUP BY 1 HAVING count(DISTINCT dst) = 1),
+h1 AS (SELECT src AS node, dst AS target FROM only_), h2 AS (SELECT node, CASE WHEN o.dst = node THEN target ELSE coalesce(o.dst, target) END AS target FROM h1 LEFT JOIN only_ o ON o.src = target),
+h3 AS (SELECT node, CASE WHEN o.dst = node THEN target ELSE coalesce(o.dst, target) END AS target FROM h2 LEFT JOIN only_ o ON o.src = target) SELECT node, target FROM h3 WHERE node <> target""")
+def shim_follow(spark, d):
+    part = table(spark, d, "part")
+    hops = part.where("p_partkey % 3 <> 0").selectExpr("p_partkey AS src", "p_partkey div 2 AS dst").union(part.where("p_partkey % 5 = 0").selectExpr("p_partkey", "p_partkey div 3")).distinct()
+    return G.forwarded(hops)
+
+
+# ---- sources, diffs, reports
+
+
+@query(r"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN list_has_any(string_split(regexp_replace(url, '^[a-z]+://', ''), '/')[:-2], ['.cache', '.gen', '.next', '.output', '.svelte-kit', '.turbo', '__generated__', 'build', 'coverage', 'dist', 'generated', 'out']) THEN 'directory'
+WHEN regexp_matches(url, '/[^/]*[0-4]$') THEN 'pattern' WHEN regexp_matches(regexp_extract(substring(html, 1, 4096), '^((?:\s+|//[^\n]*|#![^\n]*|/\*(?s:.*?)\*/|<!--(?s:.*?)-->)*)', 1), '(?i)@generated|auto[- ]generated|automatically[- ]generated|generated (by|from|with)') THEN 'banner' ELSE 'kept' END AS reason FROM pages) GROUP BY 1""")
+def excluded_counts(spark, d):
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    reason = F.when(X.in_generated_directory(path), "directory").when(F.col("url").rlike("/[^/]*[0-4]$"), "pattern").when(X.has_generated_banner(F.col("html")), "banner").otherwise("kept")
+    return table(spark, d, "pages").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) AS missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1")
+def coverage_gap(spark, d):
+    return K.coverage_gap(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "source")
+
+
+TWO = f"""WITH {FRAGMENTS}, k2 AS (SELECT l0 AS cluster_id FROM frags WHERE doc_id % 2 = 0 GROUP BY 1 HAVING count(*) > 1)"""
+
+
+@query(f"{TWO} SELECT coalesce(a.cluster_id, b.cluster_id) AS cluster_id, CASE WHEN a.cluster_id IS NULL THEN 'resolved' WHEN b.cluster_id IS NULL THEN 'added' ELSE 'unchanged' END AS status FROM k2 b FULL JOIN k0 a ON a.cluster_id = b.cluster_id")
+def report_diff(spark, d):
+    """From a report on the documents of even ids to one on all."""
+    fragments = _fragments(spark, d)
+    return K.diff(C.groups(fragments.where("doc_id % 2 = 0")), C.groups(fragments), "cluster_id")
+
+
+@query("""WITH old AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT doc_id, md5(CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0)
+SELECT 'hit' AS kind, count(*) AS n FROM new SEMI JOIN old USING (doc_id, h) UNION ALL SELECT 'miss', count(*) FROM new ANTI JOIN old USING (doc_id, h) UNION ALL SELECT 'stale', count(*) FROM old ANTI JOIN new USING (doc_id)""")
+def incremental_hits_misses(spark, d):
+    """Two made-up snapshots: files that came, went and changed in between."""
+    docs = table(spark, d, "documents")
+    old = docs.where("doc_id % 3 <> 0").select("doc_id", F.md5("text").alias("h"))
+    new = docs.where("doc_id % 7 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"))
+    parts = (("hit", new.join(old, ["doc_id", "h"], "left_semi")), ("miss", new.join(old, ["doc_id", "h"], "left_anti")), ("stale", old.join(new, "doc_id", "left_anti")))
+    hit, miss, stale = (x.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, x in parts)
+    return hit.union(miss).union(stale)
+
+
+@query(f"""WITH {FRAGMENTS}, best AS (SELECT cluster_id, mass, 1 + ceil(length(cluster_id || ' x' || copies || ' ' || mass) / 4)::BIGINT AS cost FROM k0 ORDER BY mass DESC, cluster_id LIMIT 200),
+run AS (SELECT cluster_id, cost, sum(cost) OVER (ORDER BY mass DESC, cluster_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running_cost FROM best) SELECT * FROM run WHERE running_cost <= 500""")
+def token_budget_prefix(spark, d):
+    line = F.concat("cluster_id", F.lit(" x"), F.col("copies").cast("string"), F.lit(" "), F.col("mass").cast("string"))
+    rows = C.top(C.groups(_fragments(spark, d)), 200).select("cluster_id", "mass", (F.ceil(F.length(line) / 4) + 1).alias("cost"))
+    return K.budget_prefix(rows, "cost", [F.desc("mass"), F.col("cluster_id")], 500).select("cluster_id", "cost", "running_cost")
+
+
+@query("""SELECT doc_id, array_to_string(list_concat(list_transform(string_split(text, chr(10))[:3], lambda l: CASE WHEN length(rtrim(l, ' ')) > 100 THEN substring(rtrim(l, ' '), 1, 99) || '…' ELSE rtrim(l, ' ') END),
+CASE WHEN len(string_split(text, chr(10))) > 3 THEN ['…'] ELSE [] END), chr(10)) AS excerpt FROM documents""")
+def excerpt(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.excerpt(F.col("text"), 3).alias("excerpt"))
+
+
+@query(f"WITH {FRAGMENTS}, n AS (SELECT cluster_id, source, count(DISTINCT doc_id) AS files FROM o0 GROUP BY 1, 2) SELECT cluster_id, source, files, row_number() OVER (PARTITION BY cluster_id ORDER BY files DESC, source)::INT AS place FROM n QUALIFY place <= 3")
+def directory_spread(spark, d):
+    from pyspark.sql import Window
+
+    made = _copies(spark, d).groupBy("cluster_id", "source").agg(F.count_distinct("doc_id").alias("files"))
+    return made.withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("files"), "source"))).where("place <= 3")
+
+
+@query(f"WITH {FRAGMENTS} SELECT cluster_id, doc_id, string_agg(DISTINCT seq, ',' ORDER BY seq) AS lines FROM o0 GROUP BY 1, 2")
+def location_list(spark, d):
+    made = _copies(spark, d).groupBy("cluster_id", "doc_id").agg(F.sort_array(F.collect_set("seq")).alias("lines"))
+    return made.select("cluster_id", "doc_id", F.array_join(F.transform("lines", lambda n: n.cast("string")), ",").alias("lines"))
+
+
+@query()
+def html_fragment_list(spark, d):
+    return html_fragments(table(spark, d, "pages"))
+
+
+@query()
+def html_dup(spark, d):
+    made = html_fragments(table(spark, d, "pages")).groupBy("l1").agg(F.count("*").alias("copies"), F.count_distinct("page_id").alias("pages"), F.min("node_count").alias("node_count"), F.min("kind").alias("kind")).where("copies > 1")
+    return made.withColumn("mass", F.col("node_count") * (F.col("copies") - 1)).orderBy(F.desc("mass"), "l1")
