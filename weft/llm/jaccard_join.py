@@ -11,8 +11,10 @@ with too few non-empty segments indexes them all and their one-deletion neighbou
 then still meets, so it counts for two); if even these are too few, all its shingles too.
 
 Sets with a key in common are candidates: each key's sets are paired with the key's smallest, then verified exactly from the
-texts. Where a key's sets remain in different components, all its pairs across components are tried, after a bound by parity
-bitmaps of the sets (the bits in which they differ are at most the shingles in which they differ). No pair is left out.
+texts. Where a key's sets remain in different components, its other pairs across components follow, in two rounds: first those
+with the few sets that most others may be similar to, then all. Only pairs go on that a bound by
+parity bitmaps allows (the bits in which two sets differ are at most the shingles in which they differ). No pair is left out,
+and a group that has become one component costs no more.
 
 Equal sets are one node throughout, so groups of copies cost one. Defined results: sets of fewer than k words are the whole
 sequence; a text without words, or null, has an empty set and is linked with nothing; repeated rows and ids are rows of the
@@ -47,8 +49,8 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity of the set's hashes by bit, over a power of two of bits not below the set's size."""
-    bits = max(64, 1 << int(len(shingles) - 1).bit_length())
+    """Parity of the set's hashes by bit, over a power of two of bits above twice the set's size."""
+    bits = max(64, 1 << (2 * len(shingles)).bit_length())
     return np.packbits((np.bincount((shingles % U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -214,17 +216,25 @@ def bounded(pairs: DataFrame, nodes: DataFrame, similar: tuple[int, int]) -> Dat
     return pairs.select("u", "v").join(side["u"], "u").join(side["v"], "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(run, "u long, v long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
-    """Pairs (u, v) of nodes that are similar, from the texts of one document of each."""
+def sets_of(needed: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, set: the shingles of the needed nodes, from the text of one document of each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in T.slices(T.text_column(batch)):
                 asked = batch.column(0).slice(i, j - i)
                 got = list(T.shingle_sets(data, offsets, words))
+                # an id may stand on several rows, so the node is checked again
                 right = [len(s) > 0 and node_of(s) == n for s, n in zip(got, asked.to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([asked, pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "set"]).filter(pa.array(right, pa.bool_()))
 
+    of = needed.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
+    return cut(docs.join(of, "doc_id").select("node", "text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Pairs (u, v) of nodes whose sets are similar."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -235,52 +245,80 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, si
                 good.append(similar[1] * both >= similar[0] * (len(x) + len(y) - both))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", "doc_id"), "node")
-    # an id may stand on several rows, so the node is checked again
-    known = cut(docs.join(needed, "doc_id").select("node", "text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
-    side = {s: known.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}")).hint("merge") for s in "uv"}
+    side = {s: sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}")) for s in "uv"}
     return pairs.join(side["u"], "u").join(side["v"], "v").select("u", "v", "set_u", "set_v").mapInArrow(compare, "u long, v long")
 
 
-def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs of a bucket's nodes of different components that sizes and bitmaps don't rule out; those with the smallest
-    node have been tried."""
+#: Places, among a key's sets by how many others they may link with, whose pairs a round tries.
+ROUNDS = ((0, 4), (4, 1 << 62))
+
+
+def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, similar: tuple[int, int], places: tuple[int, int]) -> DataFrame:
+    """Pairs of a bucket's nodes of different components, one of them at one of the places, that sizes and bitmaps allow."""
     labelled = members.join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("label", F.coalesce("label", "v"))
     torn = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    rows = labelled.join(torn, "bucket").join(nodes.select(F.col("node").alias("v"), "n", "bits"), "v").select("bucket", "u", "v", "label", "n", "bits")
+    rows = labelled.join(torn, "bucket").join(nodes.select(F.col("node").alias("v"), "n", "bits"), "v").select("bucket", "v", "label", "n", "bits")
+    num, den = similar
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).to_pydict()
-        order = np.argsort(np.array(table["n"]), kind="stable")
-        node, label, n = (np.array(table[c], np.int64)[order] for c in ("v", "label", "n"))
-        hub = table["u"][0]
+        node, label, n = (np.array(table[c], np.int64) for c in ("v", "label", "n"))
+        order = np.lexsort((node, n))
+        node, label, n = node[order], label[order], n[order]
         raw = [np.frombuffer(table["bits"][i], np.uint8) for i in order]
-        by_length = {}
-        for length in {len(b) for b in raw}:  # every bitmap, folded to each shorter length
-            folded = []
-            for b in raw:
+        folded: dict[int, np.ndarray] = {}
+        for length in sorted({len(b) for b in raw}):  # all bitmaps of this length or more, folded to it; sizes ascend, and so do lengths
+            rows_ = []
+            for b in raw[next(i for i, b in enumerate(raw) if len(b) >= length) :]:
                 while len(b) > length:
                     b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-                folded.append(b if len(b) == length else np.zeros(length, np.uint8))
-            by_length[length] = np.stack(folded)
-        num, den = similar
-        for i in range(len(node)):
-            if node[i] == hub:
-                continue
+                rows_.append(b)
+            folded[length] = np.stack(rows_)
+
+        def partners(i: int) -> np.ndarray:
+            """Later nodes that node i may link with."""
             end = int(np.searchsorted(n, n[i] * den // num, "right"))
+            rows_ = folded[len(raw[i])]
+            skip = len(node) - len(rows_)
             j = np.arange(i + 1, end)
-            j = j[(label[j] != label[i]) & (node[j] != hub)]
-            if len(j):
-                rows_ = by_length[len(raw[i])]
-                difference = np.bitwise_count(rows_[j] ^ rows_[i]).sum(axis=1)
-                j = j[difference <= (n[i] + n[j]) * (den - num) // (den + num)]
+            difference = np.bitwise_count(rows_[j - skip] ^ raw[i]).sum(axis=1)
+            return j[difference <= (n[i] + n[j]) * (den - num) // (den + num)]
+
+        degree = np.zeros(len(node), np.int64)
+        torn_from: list[np.ndarray] = []
+        for i in range(len(node)):
+            j = partners(i)
+            degree[i] += len(j)
+            degree[j] += 1
+            torn_from.append(j[label[j] != label[i]])
+        place = np.empty(len(node), np.int64)
+        place[np.lexsort((node, -degree))] = np.arange(len(node))
+        for i, j in enumerate(torn_from):
+            if not len(j):
+                continue
+            first = np.minimum(place[i], place[j])
+            j = j[(first >= places[0]) & (first < places[1])]
             if len(j):
-                low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["u", "v"])
 
     return rows.groupBy("bucket").applyInArrow(run, "u long, v long").distinct()
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links between nodes: components of the old labels."""
+    name = {s: labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}")) for s in "uv"}
+    ends = links.join(name["u"], "u", "left").join(name["v"], "v", "left").select(F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v"))
+    over = components(ends).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    lone = links.select(F.col("u").alias("node")).union(links.select("v")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return cut(labels.union(lone).join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+
+
+def torn_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose nodes are of different components."""
+    name = {s: labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}")) for s in "uv"}
+    return pairs.join(name["u"], "u", "left").join(name["v"], "v", "left").where(F.coalesce("label_u", "u") != F.coalesce("label_v", "v")).select("u", "v")
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -291,20 +329,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, similar: tuple[int, int]
     found = cut(index(texts, parts, words, similar).groupBy("part").applyInArrow(_buckets, "bucket long, u long, v long"))
     tried = cut(bounded(found.where("bucket = 0").select("u", "v").distinct(), nodes, similar))
     once = tried.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    links = cut(verified(once, nodes, texts, words, similar))
-    labels = components(links)
-    name = {s: labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}")) for s in "uv"}
-    rest = tried.join(once, ["u", "v"], "left_anti").join(name["u"], "u", "left").join(name["v"], "v", "left").where(F.coalesce("label_u", "u") != F.coalesce("label_v", "v")).select("u", "v")
-    torn = across(found.where("bucket <> 0").distinct(), labels, nodes, similar)
-    more = cut(rest.union(torn).distinct())
-    if not more.isEmpty():
-        new = cut(verified(more, nodes, texts, words, similar))
-        if not new.isEmpty():
-            # components of components: links between labels join them
-            ends = new.join(name["u"], "u", "left").join(name["v"], "v", "left").select(F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v"))
-            over = components(ends).select(F.col("node").alias("label"), F.col("label").alias("top"))
-            lone = new.select(F.col("u").alias("node")).union(new.select("v")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
-            labels = cut(labels.union(lone).join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+    sets = sets_of(tried.select(F.col("u").alias("node")).union(tried.select("v")), nodes, texts, words)
+    labels = components(cut(verified(once, sets, similar)))
+    members = cut(found.where("bucket <> 0").select("bucket", "v").distinct())
+    for places in (None, *ROUNDS):
+        new = across(members, labels, nodes, similar, places) if places else torn_pairs(tried.join(once, ["u", "v"], "left_anti"), labels)
+        new = cut(new)
+        if new.isEmpty():
+            continue
+        missing = new.select(F.col("u").alias("node")).union(new.select("v")).distinct().join(sets.select("node"), "node", "left_anti")
+        if not missing.isEmpty():
+            sets = sets.union(sets_of(missing, nodes, texts, words))
+        links = cut(verified(new, sets, similar))
+        if not links.isEmpty():
+            labels = merged(labels, links)
     named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = cut(named.join(least, "label").select("node", "component_id"))
