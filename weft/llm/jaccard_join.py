@@ -254,10 +254,15 @@ ROUNDS = ((0, 4), (4, 1 << 62))
 
 
 def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, similar: tuple[int, int], places: tuple[int, int]) -> DataFrame:
-    """Pairs of a bucket's nodes of different components, one of them at one of the places, that sizes and bitmaps allow."""
+    """Pairs of a bucket's nodes of different components, one of them at one of the places, that sizes and bitmaps allow.
+
+    Nodes that share buckets form their pair in the smallest of these alone: a row carries the node's smaller buckets. All
+    buckets of a pair of different components are torn, so it is the same one in each round and no pair comes twice."""
     labelled = members.join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("label", F.coalesce("label", "v"))
     torn = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    rows = labelled.join(torn, "bucket").join(nodes.select(F.col("node").alias("v"), "n", "bits"), "v").select("bucket", "v", "label", "n", "bits")
+    of = labelled.join(torn, "bucket").groupBy("v").agg(F.min("label").alias("label"), F.sort_array(F.collect_list("bucket")).alias("buckets"))
+    placed = of.join(nodes.select(F.col("node").alias("v"), "n", "bits"), "v").select("*", F.posexplode("buckets").alias("before", "bucket"))
+    rows = placed.select("bucket", "v", "label", "n", "bits", F.slice("buckets", F.lit(1), F.col("before")).alias("smaller"))
     num, den = similar
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,6 +271,7 @@ def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, similar: tup
         order = np.lexsort((node, n))
         node, label, n = node[order], label[order], n[order]
         raw = [np.frombuffer(table["bits"][i], np.uint8) for i in order]
+        smaller = [frozenset(table["smaller"][i]) for i in order]
         folded: dict[int, np.ndarray] = {}
         for length in sorted({len(b) for b in raw}):  # all bitmaps of this length or more, folded to it; sizes ascend, and so do lengths
             rows_ = []
@@ -298,10 +304,11 @@ def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, similar: tup
                 continue
             first = np.minimum(place[i], place[j])
             j = j[(first >= places[0]) & (first < places[1])]
+            j = j[np.fromiter((smaller[i].isdisjoint(smaller[k]) for k in j), bool, len(j))]
             if len(j):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["u", "v"])
 
-    return rows.groupBy("bucket").applyInArrow(run, "u long, v long").distinct()
+    return rows.groupBy("bucket").applyInArrow(run, "u long, v long")
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
