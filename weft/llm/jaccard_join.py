@@ -11,8 +11,8 @@ with too few non-empty segments indexes them all and their one-deletion neighbou
 then still meets, so it counts for two); if even these are too few, all its shingles too.
 
 Sets with a key in common are candidates: each key's sets are paired with the key's smallest, then verified exactly from the
-texts. Where a key's sets remain in different components, its other pairs across components follow, in two rounds: first those
-with the few sets that most others may be similar to, then all. Only pairs go on that a bound by
+texts. Where a key's sets remain in different components, its other pairs across components follow; first the sets without such a pair
+are set aside, then two rounds take those with the few sets that most others may be similar to, and all. Only pairs go on that a bound by
 parity bitmaps allows (the bits in which two sets differ are at most the shingles in which they differ). No pair is left out,
 and a group that has become one component costs no more.
 
@@ -253,50 +253,74 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Dat
 ROUNDS = ((0, 4), (4, 1 << 62))
 
 
+def _partners(batches: Iterator[pa.RecordBatch], similar: tuple[int, int]) -> tuple[dict, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of a bucket's rows: its columns, ordered by size and node; the nodes; how many others each may link with by size and
+    bitmap; and of these, for each node, the later ones of another component."""
+    num, den = similar
+    table = pa.Table.from_batches(list(batches))
+    table = table.take(np.lexsort((table["v"].to_numpy(), table["n"].to_numpy()))).to_pydict()
+    node, label, n = (np.array(table[c], np.int64) for c in ("v", "label", "n"))
+    raw = [np.frombuffer(b, np.uint8) for b in table["bits"]]
+    folded: dict[int, np.ndarray] = {}
+    for length in sorted({len(b) for b in raw}):  # all bitmaps of this length or more, folded to it; sizes ascend, and so do lengths
+        rows = []
+        for b in raw[next(i for i, b in enumerate(raw) if len(b) >= length) :]:
+            while len(b) > length:
+                b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+            rows.append(b)
+        folded[length] = np.stack(rows)
+    degree = np.zeros(len(node), np.int64)
+    torn_from: list[np.ndarray] = []
+    for i in range(len(node)):
+        end = int(np.searchsorted(n, n[i] * den // num, "right"))
+        rows = folded[len(raw[i])]
+        j = np.arange(i + 1, end)
+        difference = np.bitwise_count(rows[j - (len(node) - len(rows))] ^ raw[i]).sum(axis=1)
+        j = j[difference <= (n[i] + n[j]) * (den - num) // (den + num)]
+        degree[i] += len(j)
+        degree[j] += 1
+        torn_from.append(j[label[j] != label[i]])
+    return table, node, degree, torn_from
+
+
+def _torn(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, v, label: the rows of the buckets whose nodes are of different components."""
+    labelled = members.join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("label", F.coalesce("label", "v"))
+    torn = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    return labelled.join(torn, "bucket")
+
+
+def open_members(members: DataFrame, labels: DataFrame, nodes: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """bucket, v: the nodes of each bucket that may link with one of its nodes of another component, by size and bitmap.
+
+    Both nodes of a pair that may link are in the result for every bucket they share, so the other rows can be left out."""
+    rows = _torn(members, labels).join(nodes.select(F.col("node").alias("v"), "n", "bits"), "v").select("bucket", "v", "label", "n", "bits")
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, node, _, torn_from = _partners(batches, similar)
+        is_open = np.zeros(len(node), bool)
+        for i, j in enumerate(torn_from):
+            is_open[j] = True
+            is_open[i] |= len(j) > 0
+        if is_open.any():
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * int(is_open.sum()), pa.int64()), pa.array(node[is_open])], names=["bucket", "v"])
+
+    # a fixed number of tasks: repeated bitmaps shrink so well on the wire that sizes there would join too many rows in one
+    return rows.repartition(2 * shuffle_partitions(members.sparkSession), "bucket").groupBy("bucket").applyInArrow(run, "bucket long, v long")
+
+
 def across(members: DataFrame, labels: DataFrame, nodes: DataFrame, similar: tuple[int, int], places: tuple[int, int]) -> DataFrame:
-    """Pairs of a bucket's nodes of different components, one of them at one of the places, that sizes and bitmaps allow.
+    """Pairs of a bucket's open nodes of different components, one of them at one of the places, that sizes and bitmaps allow.
 
     Nodes that share buckets form their pair in the smallest of these alone: a row carries the node's smaller buckets. All
     buckets of a pair of different components are torn, so it is the same one in each round and no pair comes twice."""
-    labelled = members.join(labels.withColumnRenamed("node", "v"), "v", "left").withColumn("label", F.coalesce("label", "v"))
-    torn = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    of = labelled.join(torn, "bucket").groupBy("v").agg(F.min("label").alias("label"), F.sort_array(F.collect_list("bucket")).alias("buckets"))
+    of = _torn(members, labels).groupBy("v").agg(F.min("label").alias("label"), F.sort_array(F.collect_list("bucket")).alias("buckets"))
     placed = of.join(nodes.select(F.col("node").alias("v"), "n", "bits"), "v").select("*", F.posexplode("buckets").alias("before", "bucket"))
     rows = placed.select("bucket", "v", "label", "n", "bits", F.slice("buckets", F.lit(1), F.col("before")).alias("smaller"))
-    num, den = similar
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).to_pydict()
-        node, label, n = (np.array(table[c], np.int64) for c in ("v", "label", "n"))
-        order = np.lexsort((node, n))
-        node, label, n = node[order], label[order], n[order]
-        raw = [np.frombuffer(table["bits"][i], np.uint8) for i in order]
-        smaller = [frozenset(table["smaller"][i]) for i in order]
-        folded: dict[int, np.ndarray] = {}
-        for length in sorted({len(b) for b in raw}):  # all bitmaps of this length or more, folded to it; sizes ascend, and so do lengths
-            rows_ = []
-            for b in raw[next(i for i, b in enumerate(raw) if len(b) >= length) :]:
-                while len(b) > length:
-                    b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-                rows_.append(b)
-            folded[length] = np.stack(rows_)
-
-        def partners(i: int) -> np.ndarray:
-            """Later nodes that node i may link with."""
-            end = int(np.searchsorted(n, n[i] * den // num, "right"))
-            rows_ = folded[len(raw[i])]
-            skip = len(node) - len(rows_)
-            j = np.arange(i + 1, end)
-            difference = np.bitwise_count(rows_[j - skip] ^ raw[i]).sum(axis=1)
-            return j[difference <= (n[i] + n[j]) * (den - num) // (den + num)]
-
-        degree = np.zeros(len(node), np.int64)
-        torn_from: list[np.ndarray] = []
-        for i in range(len(node)):
-            j = partners(i)
-            degree[i] += len(j)
-            degree[j] += 1
-            torn_from.append(j[label[j] != label[i]])
+        table, node, degree, torn_from = _partners(batches, similar)
+        smaller = [frozenset(x) for x in table["smaller"]]
         place = np.empty(len(node), np.int64)
         place[np.lexsort((node, -degree))] = np.arange(len(node))
         for i, j in enumerate(torn_from):
@@ -340,6 +364,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, similar: tuple[int, int]
     labels = components(cut(verified(once, sets, similar)))
     members = cut(found.where("bucket <> 0").select("bucket", "v").distinct())
     for places in (None, *ROUNDS):
+        if places == ROUNDS[0]:
+            members = cut(open_members(members, labels, nodes, similar))
         new = across(members, labels, nodes, similar, places) if places else torn_pairs(tried.join(once, ["u", "v"], "left_anti"), labels)
         new = cut(new)
         if new.isEmpty():
