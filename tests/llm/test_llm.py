@@ -159,6 +159,40 @@ def test_passages(docs, empty):
     assert passages.passages(empty).count() == 0
 
 
+def _words(r, n):
+    return ["".join(r.choice("abcdefghijkl") for _ in range(7)) for _ in range(n)]
+
+
+def test_short_shared_lines_are_no_passage(spark):
+    r = random.Random(11)
+    lines = [_words(r, 15) for _ in range(3)]
+    lone = [w for line in lines for w in (*_words(r, 12), *line)] + _words(r, 12)
+    long = _words(r, 60)
+    rows = [(k, " ".join([*_words(r, 30), *line, *_words(r, 30)])) for k, line in enumerate(lines)] + [(3, " ".join([*_words(r, 30), *long]))]
+    mixed = [w for line in lines for w in (*_words(r, 12), *line)] + _words(r, 12)
+    rows += [(10, " ".join(lone)), (11, " ".join([*mixed, *long]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.passages(docs).toPandas()
+    assert 10 not in set(found.doc_id) and set(found[found.doc_id == 11].other_doc_id) >= {3}
+    rest = {x.doc_id: x.text.split() for x in passages.without_repeats(docs).collect()}
+    assert rest[10] == lone and rest[11] == mixed[:39]  # 90 of the other 114 words are elsewhere, of 141 with one more line 105
+
+
+def test_united_parts_agree():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        start = np.sort(r.integers(0, 300, 8))
+        end = start + r.integers(6, 70, 8)
+        same = [r.random(e - s) < 0.95 for s, e in zip(start, end)]
+        matched = np.zeros(400, bool)
+        for s, e, x in zip(start, end, same):
+            matched[s:e] |= x
+        for s, e, x, span in zip(start, end, same, passages.united(start, end, same, 50, 0.75)):
+            assert span or e - s < 50 or x.mean() < 0.75
+            if span:
+                assert span[0] <= s and e <= span[1] and span[1] - span[0] >= 50 and matched[span[0] : span[1]].mean() >= 0.75
+
+
 def test_chain_is_collinear():
     runs = np.array([[0, 10, 100], [12, 20, 112], [14, 30, 50], [25, 40, 126]])
     first = passages.chain(runs)[0]

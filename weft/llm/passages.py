@@ -6,10 +6,11 @@ gets one match with the owner, so a seed in any number of documents yields a lin
 and owner, matches on one diagonal merge into runs, and the runs are chained: a Fenwick tree over the owner's positions holds
 the best chain that ends before, under a cost for the words a gap skips. Chains that together cover a long enough part of the
 document are aligned word by word with the owner's text: along the runs' diagonals, each gap at its best switch from one to
-the next, the ends as far as they agree. Aligned chains of one document that touch join to passages.
+the next, the ends as far as they agree. Aligned chains of one document that touch join to passages, as long as the words that
+some chain matches, without those between chains, make the share of the whole.
 
-Defined results: a null text, or one below k words, has no seeds; a passage must have ``least`` words or more and agree in 3 of
-4 aligned words; a repeat within one document is none; rows that repeat an id are one document's (the seeds of all,
+Defined results: a null text, or one below k words, has no seeds; a passage must have ``least`` words or more, of which 3 in 4
+agree, and so must each aligned part; a repeat within one document is none; rows that repeat an id are one document's (the seeds of all,
 the words of the first by hash); other columns are not read.
 """
 
@@ -263,8 +264,46 @@ def _chain_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names=["doc_id", "other", "a", "z", "other_a", "other_z", "runs"])
 
 
-def align(x: np.ndarray, y: np.ndarray, runs: np.ndarray) -> tuple[int, int, int, int, int]:
-    """(start, end) in x and y of the chain's alignment, and how many words agree. Between two runs, the alignment leaves the
+def widest(start: np.ndarray, end: np.ndarray, gain: np.ndarray, least: int) -> list[tuple[int, int] | None]:
+    """For each part, its passage if it has one. gain: prefix sums over words, that do not fall over a span which agrees enough.
+    The longest such span of ``least`` words from a part's start to a part's end comes first, then those of the parts before
+    and after it. A part of ``least`` words that agrees enough is always in one."""
+    out: list[tuple[int, int] | None] = [None] * len(start)
+    todo = [np.arange(len(start))]
+    while todo:
+        at = todo.pop()
+        starts, ends = np.unique(start[at]), np.unique(end[at])
+        # the first start that a span to each end may have: where the running minimum of gain gets as low as the end's
+        first = np.searchsorted(-np.minimum.accumulate(gain[starts]), -gain[ends])
+        length = np.where(first < len(starts), ends - starts[np.minimum(first, len(starts) - 1)], 0)
+        k = int(length.argmax())
+        if length[k] < least:
+            continue
+        a, b = int(starts[first[k]]), int(ends[k])
+        for i in at[(start[at] >= a) & (end[at] <= b)]:
+            out[i] = (a, b)
+        todo += [x for x in (at[start[at] < a], at[end[at] > b]) if len(x)]
+    return out
+
+
+def united(start: np.ndarray, end: np.ndarray, same: list[np.ndarray], least: int, agree: float) -> list[tuple[int, int] | None]:
+    """For each aligned part of a document, with the words of it that agree, the passage it belongs to."""
+    out: list[tuple[int, int] | None] = [None] * len(start)
+    for a, b in joined(list(zip(start.tolist(), end.tolist(), strict=True)), TOUCH):
+        if b - a < least:
+            continue
+        at = np.flatnonzero((start >= a) & (end <= b))
+        matched = np.zeros(b - a, bool)
+        for i in at:
+            matched[start[i] - a : end[i] - a] |= same[i]
+        gain = np.concatenate([[0], np.cumsum(matched)]) - agree * np.arange(b - a + 1)
+        for i, span in zip(at, widest(start[at] - a, end[at] - a, np.round(gain, 6), least), strict=True):
+            out[i] = span and (span[0] + a, span[1] + a)
+    return out
+
+
+def align(x: np.ndarray, y: np.ndarray, runs: np.ndarray) -> tuple[int, int, int, int, np.ndarray]:
+    """(start, end) in x and y of the chain's alignment, and which words of x agree. Between two runs, the alignment leaves the
     first one's diagonal for the second one's where most words agree; beyond the ends it goes on while that gains."""
 
     def agree(a: int, b: int, d: int) -> np.ndarray:
@@ -279,7 +318,7 @@ def align(x: np.ndarray, y: np.ndarray, runs: np.ndarray) -> tuple[int, int, int
     before = agree(int(runs[0, 0]) - FLANK, int(runs[0, 0]), d)[::-1]
     gain = np.cumsum(np.where(before, 1, -2))
     start = int(runs[0, 0]) - (int(gain.argmax()) + 1 if len(gain) and gain.max() > 0 else 0)
-    at, same = start, 0
+    at, same = start, [np.zeros(0, bool)]
     for k in range(len(runs)):
         d, end = int(diagonal[k]), int(runs[k, 1])
         if k + 1 < len(runs):
@@ -289,14 +328,14 @@ def align(x: np.ndarray, y: np.ndarray, runs: np.ndarray) -> tuple[int, int, int
             here, there = agree(a, b, d), agree(a, b, following)
             total = np.concatenate([[0], np.cumsum(here)]) + np.concatenate([np.cumsum(there[::-1])[::-1], [0]])
             switch = a + int(total.argmax())
-            same += int(agree(at, switch, d).sum())
-            at = switch
+            same.append(agree(at, switch, d))
+            at = max(at, switch)
         else:
             after = np.cumsum(np.where(agree(end, end + FLANK, d), 1, -2))
             end += int(after.argmax()) + 1 if len(after) and after.max() > 0 else 0
-            same += int(agree(at, end, d).sum())
+            same.append(agree(at, end, d))
             at = max(at, end)
-    return start, at, start + int(diagonal[0]), at + d, same
+    return start, at, start + int(diagonal[0]), at + d, np.concatenate(same)
 
 
 def passages(docs: DataFrame, least: int = LEAST, agree: float = AGREE) -> DataFrame:
@@ -325,21 +364,23 @@ def passages(docs: DataFrame, least: int = LEAST, agree: float = AGREE) -> DataF
             for doc, other, a, o, runs, x, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "other", "a", "other_a", "runs", "words", "other_words")), strict=True):
                 at = np.frombuffer(runs, np.int64).reshape(-1, 3) - np.array([a, a, o])
                 s, e, os, oe, same = align(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), at)
-                if e > s and same >= agree * (e - s):
-                    rows.append((doc, other, s + a, e + a, os + o, oe + o, same))
+                if e > s and same.sum() >= agree * (e - s):
+                    rows.append((doc, other, s + a, e + a, os + o, oe + o, int(same.sum()), np.packbits(same).tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=PARTS)
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], names=[*PARTS, "same"])
 
     words = texts.join(wanted, "doc_id").select("doc_id", "text", "ranges").mapInArrow(extract, "doc_id long, a long, z long, words binary")
     words = cut(words.withColumn("crc", F.xxhash64("words")).groupBy("doc_id", "a", "z").agg(F.min(F.struct("crc", "words"))["words"].alias("words")))
     own = words.hint("merge")
     others = words.select(F.col("doc_id").alias("other"), F.col("a").alias("other_a"), F.col("z").alias("other_z"), F.col("words").alias("other_words")).hint("merge")
-    aligned = chains.join(own, ["doc_id", "a", "z"]).join(others, ["other", "other_a", "other_z"]).select("doc_id", "other", "a", "other_a", "runs", "words", "other_words").mapInArrow(run, ", ".join(f"{c} long" for c in PARTS))
+    aligned = chains.join(own, ["doc_id", "a", "z"]).join(others, ["other", "other_a", "other_z"]).select("doc_id", "other", "a", "other_a", "runs", "words", "other_words").mapInArrow(run, ", ".join(f"{c} long" for c in PARTS) + ", same binary")
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m in _by_document(batches):
-            spans = [(a, b) for a, b in joined(list(zip(m["part_start"].tolist(), m["part_end"].tolist(), strict=True)), TOUCH) if b - a >= least]
-            where = [next(((a, b) for a, b in spans if a <= s and e <= b), None) for s, e in zip(m["part_start"].tolist(), m["part_end"].tolist(), strict=True)]
+            start, end = m["part_start"], m["part_end"]
+            same = [np.unpackbits(np.frombuffer(x, np.uint8), count=e - s).astype(bool) for x, s, e in zip(m["same"], start, end, strict=True)]
+            where = united(start, end, same, least, agree)
             keep = np.array([w is not None for w in where])
             if keep.any():
                 columns = [pa.array(m[c][keep]) for c in PARTS]
