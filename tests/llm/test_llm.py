@@ -178,6 +178,16 @@ def test_short_shared_lines_are_no_passage(spark):
     assert rest[10] == lone and rest[11] == mixed[:39]  # 90 of the other 114 words are elsewhere, of 141 with one more line 105
 
 
+def test_every_copy_of_a_passage_is_found(spark):
+    r = random.Random(13)
+    long, half = _words(r, 60), _words(r, 60)
+    rest = [_words(r, 80) for _ in range(6)]
+    rows = [(0, [*rest[0], *long]), (1, [*rest[1], *half]), (10, [*rest[2], *long, *rest[3], *long]), (11, [*rest[4], *half[:30], *rest[5], *half])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {x.doc_id: x.text.split() for x in passages.without_repeats(docs).collect()}
+    assert got[0] == rows[0][1] and got[10] == [*rest[2], *rest[3]] and got[11] == [*rest[4], *half[:30], *rest[5]]
+
+
 def test_united_parts_agree():
     r = np.random.default_rng(2)
     for _ in range(300):

@@ -1,8 +1,8 @@
 """Substring dedup: fuzzy passages that repeat across documents, by collinear chaining of k-mer seeds.
 
 Seeds are k-word windows whose hash is the smallest of ``window`` neighbours, so any common run of window + k - 1 words has a
-common seed. Seeds go to the task of their hash; the smallest document with a seed owns it, and every other document with it
-gets one match with the owner, so a seed in any number of documents yields a linear number of matches. For each document
+common seed. Seeds go to the task of their hash; the smallest document with a seed owns it, and every place of it in another document
+gets one match with the owner's first, so a seed at any number of places yields a linear number of matches. For each document
 and owner, matches on one diagonal merge into runs, and the runs are chained: a Fenwick tree over the owner's positions holds
 the best chain that ends before, under a cost for the words a gap skips. Chains that together cover a long enough part of the
 document are aligned word by word with the owner's text: along the runs' diagonals, each gap at its best switch from one to
@@ -10,7 +10,8 @@ the next, the ends as far as they agree. Aligned chains of one document that tou
 some chain matches, without those between chains, make the share of the whole.
 
 Defined results: a null text, or one below k words, has no seeds; a passage must have ``least`` words or more, of which 3 in 4
-agree, and so must each aligned part; a repeat within one document is none; rows that repeat an id are one document's (the seeds of all,
+agree, and so must each aligned part; a repeat within one document is none
+(each copy of what a smaller document has is one); rows that repeat an id are one document's (the seeds of all,
 the words of the first by hash); other columns are not read.
 """
 
@@ -84,9 +85,6 @@ def seeds(docs: DataFrame, parts: int) -> DataFrame:
                 first = np.searchsorted(at, bounds)
                 picked = np.flatnonzero(minima(grams, first, WINDOW))
                 place = T.owner(first)[picked]
-                # a text's first seed of each hash
-                _, once = np.unique(grams[picked] ^ T.mix(place.astype(np.uint64) + np.uint64(1)), return_index=True)
-                picked, place = picked[np.sort(once)], place[np.sort(once)]
                 ids.append(np.asarray(batch.column(0).slice(i, j - i).to_pylist(), np.int64))
                 held.append((place + texts, at[picked] - bounds[place], grams[picked]))
                 texts += j - i
