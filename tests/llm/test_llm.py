@@ -130,6 +130,18 @@ def test_jaccard_components(docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_null_ids_lose_no_document(spark):
+    r = random.Random(17)
+    a, b, c, d = (_words(r, 60) for _ in range(4))
+    near = [[*x[:-1], "changed"] for x in (a, b)]
+    rows = [(None, a), (5, a), (3, near[0]), (None, b), (None, near[1]), (None, c), (None, c), (8, d), (None, None), (None, [])]
+    docs = spark.createDataFrame([(i, None if w is None else " ".join(w), k) for k, (i, w) in enumerate(rows)], "doc_id long, text string, row int")
+    got = jaccard_join.jaccard_components(docs).collect()
+    assert sorted(((x.doc_id, x.component_id) for x in got if x.component_id is not None), key=str) == [(3, 3), (5, 3), (8, 8), (None, 3)] and len(got) == 10
+    kept = {x.row for x in jaccard_join.one_of_each(docs).collect()}
+    assert kept >= {2, 7, 8, 9} and len(kept & {3, 4}) == 1 and len(kept & {5, 6}) == 1 and len(kept) == 6
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 7, 8, 13, 31, 64, 200, 700])
 def test_every_similar_pair_shares_a_key(size):
     r = np.random.default_rng(size)

@@ -18,7 +18,9 @@ and a group that has become one component costs no more.
 
 Equal sets are one node throughout, so groups of copies cost one. Defined results: sets of fewer than k words are the whole
 sequence; a text without words, or null, has an empty set and is linked with nothing; repeated rows and ids are rows of the
-result each; other columns are not read.
+result each; a row with a null id links as any other, and a component's id is its smallest that is not null, or null if there is
+none; other columns are not read. ``one_of_each`` keeps one row of a component of null ids alone, and rows with a null id and no
+words.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from weft.llm import textops as T
 from weft.llm.common import cut, shuffle_partitions
@@ -216,6 +219,18 @@ def bounded(pairs: DataFrame, nodes: DataFrame, similar: tuple[int, int]) -> Dat
     return pairs.select("u", "v").join(side["u"], "u").join(side["v"], "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(run, "u long, v long")
 
 
+def with_nodes(docs: DataFrame, words: int) -> DataFrame:
+    """The rows of docs, and weft_node: the node of the text, null without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in T.slices(T.text_column(batch)):
+                found = [node_of(s) if len(s) else None for s in T.shingle_sets(data, offsets, words)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "weft_node"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("weft_node", LongType())]))
+
+
 def sets_of(needed: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """node, set: the shingles of the needed nodes, from the text of one document of each."""
 
@@ -229,7 +244,10 @@ def sets_of(needed: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) ->
                 yield pa.RecordBatch.from_arrays([asked, pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "set"]).filter(pa.array(right, pa.bool_()))
 
     of = needed.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    return cut(docs.join(of, "doc_id").select("node", "text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
+    named = docs.join(of.where("doc_id is not null"), "doc_id").select("node", "text")
+    # nodes of null ids alone are found by their texts
+    unnamed = with_nodes(docs.where("doc_id is null").select("text"), words).withColumnRenamed("weft_node", "node").join(of.where("doc_id is null"), "node", "left_semi")
+    return cut(named.union(unnamed.select("node", "text")).mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -350,12 +368,12 @@ def torn_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(name["u"], "u", "left").join(name["v"], "v", "left").where(F.coalesce("label_u", "u") != F.coalesce("label_v", "v")).select("u", "v")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _components_of(docs: DataFrame, words: int, similar: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, component_id of every document; and node, label, component_id of every node."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slim = cut(facts(texts.select("doc_id", "text"), words))
     full = slim.where("n > 0")
-    nodes = cut(full.groupBy("node").agg(F.min(F.struct("doc_id", "n", "bits")).alias("x")).select("node", "x.doc_id", "x.n", "x.bits"))
+    nodes = cut(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")))
     parts = 2 * shuffle_partitions(docs.sparkSession)
     found = cut(index(texts, parts, words, similar).groupBy("part").applyInArrow(_buckets, "bucket long, u long, v long"))
     tried = cut(bounded(found.where("bucket = 0").select("u", "v").distinct(), nodes, similar))
@@ -378,12 +396,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, similar: tuple[int, int]
             labels = merged(labels, links)
     named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = cut(named.join(least, "label").select("node", "component_id"))
+    of = cut(named.join(least, "label").select("node", "label", "component_id"))
     linked = full.select("doc_id", "n", "node").join(of, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(slim.where("n = 0").select("doc_id", "n", "doc_id"))
+    return linked.union(slim.where("n = 0").select("doc_id", "n", "doc_id")), of
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return _components_of(docs, words, similar)[0]
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """The rows whose document is the smallest of its component, with their columns."""
-    kept = jaccard_components(docs, words, similar).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    every, of = _components_of(docs, words, similar)
+    kept = every.where("doc_id = component_id").select("doc_id").distinct()
+    unnamed = with_nodes(docs.where("doc_id is null"), words)
+    alone = of.where("component_id is null").groupBy("label").agg(F.min("node").alias("weft_node")).select("weft_node")
+    one = unnamed.join(alone, "weft_node", "left_semi").dropDuplicates(["weft_node"])
+    rest = [x.select(docs.columns) for x in (one, unnamed.where("weft_node is null"))]
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).union(rest[0]).union(rest[1])
