@@ -4,30 +4,74 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
         found = context.getCheckpointDir()
     return found
 
 
+#: Records of an Arrow batch at most: texts may be long, and a batch is held whole on both sides.
+BATCH = 1000
+#: The tables that cut() has written, as long as a block of tables_of() lasts.
+_open: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and each row is computed once."""
+    """Write df to the shared folder and read it back: lineage ends here, and each row is computed once. Arrow batches of the
+    session are kept to BATCH records."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/weft-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    for held in _open:
+        held.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.weft_path = path
+    return out
+
+
+def small_batches(spark: SparkSession) -> None:
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table of a cut() that no later plan reads."""
+    _delete(df.sparkSession, df.weft_path)
+
+
+@contextmanager
+def tables_of(spark: SparkSession) -> Iterator[set[str]]:
+    """Deletes at its end what cut() has written within, but for the paths that are put into the set it gives."""
+    keep: set[str] = set()
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        for path in _open.pop():
+            if path not in keep:
+                _delete(spark, path)
 
 
 def fold(doc_id: str, modulus: int) -> Column:
@@ -41,3 +85,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def parts_for(df: DataFrame, each: int) -> int:
+    """Parts for what a pass over df makes: twice the shuffle partitions, or more so that each part is of about ``each`` bytes
+    of df as Spark estimates its size. The results don't depend on it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(2 * shuffle_partitions(df.sparkSession), size // each if size < 1 << 56 else 0)

@@ -2,22 +2,58 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import cut
+from weft.llm.common import cut, release
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the edges (u, v), as stars: each node that is not the smallest of its tree, with the smallest."""
+    pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1)[u != v], axis=0)
+    nodes, ends = np.unique(pairs, return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    up = list(range(len(nodes)))
+    for a, b in ends.tolist():
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        while up[b] != b:
+            up[b] = up[up[b]]
+            b = up[b]
+        up[max(a, b)] = min(a, b)
+    root = np.array(up, np.int64)
+    while len(root) and (root[root] != root).any():
+        root = root[root]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[other]], nodes[other]
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label of every node of the links (u, v): label is the smallest node that links reach."""
-    edges = cut(links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).distinct())
-    labels = cut(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("label")))
+    """node, label of every node of the links (u, v) but those to itself: label is the smallest node that links reach.
+
+    Each round hooks every node to its smallest neighbour, jumps once, and goes on with the links between what is left: half
+    of the nodes at most, so all rounds together read and write a few times the links."""
+    edges = cut(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct())
+    rounds: list[DataFrame] = []
     while True:
-        near = edges.join(labels.select(F.col("node").alias("v"), F.col("label").alias("there")), "v").groupBy(F.col("u").alias("node")).agg(F.min("there").alias("there"))
-        lower = labels.join(near, "node").select("node", F.least("label", "there").alias("new"), "label")
-        above = labels.select(F.col("node").alias("new"), F.col("label").alias("up"))
-        step = cut(lower.join(above, "new").select("node", F.least("new", "up").alias("new"), "label"))
-        changed = step.where("new <> label").limit(1).count()
-        labels = step.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hooked = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("up")))
+        rounds.append(cut(hooked.join(hooked.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))))
+        release(hooked)
+        of = {s: rounds[-1].select(F.col("node").alias(s), F.col("up").alias(f"up_{s}")) for s in "uv"}
+        ends = edges.join(of["u"], "u").join(of["v"], "v").where("up_u <> up_v")
+        left = cut(ends.select(F.least("up_u", "up_v").alias("u"), F.greatest("up_u", "up_v").alias("v")).distinct())
+        release(edges)
+        edges = left
+        if edges.isEmpty():
+            break
+    release(edges)
+    labels = rounds[-1].withColumnRenamed("up", "label")
+    for earlier in reversed(rounds[:-1]):
+        labels = earlier.join(labels.select(F.col("node").alias("up"), "label"), "up", "left").select("node", F.coalesce("label", "up").alias("label"))
+    labels = cut(labels)
+    for earlier in rounds:
+        release(earlier)
+    return labels

@@ -1,6 +1,6 @@
 """Vectorised kernels over the UTF-8 bytes of many texts at once.
 
-Texts come as an Arrow column and are worked through in slices of a few megabytes, so memory is bounded by the slice or by
+Texts come as an Arrow column and are worked through in slices of half a megabyte, so memory is bounded by the slice or by
 the longest single text. Words are maximal runs of bytes other than space and \\t to \\r. Hashes are 64 bits wide: a
 polynomial over random byte values modulo 2**64, then a finaliser.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
