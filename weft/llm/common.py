@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Records of an Arrow batch at most: texts may be long, and a batch is held whole on both sides.
 BATCH = 1000
+#: Rows of a file of a table of short rows.
+ROWS_A_FILE = 250_000
 #: The tables that cut() has written, as long as a block of tables_of() lasts.
 _open: list[list[str]] = []
 
@@ -35,11 +38,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and each row is computed once. Arrow batches of the
-    session are kept to BATCH records."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here, and each row is computed once. rows: how many short
+    rows there are about, for a number of files that fits. Arrow batches of the session are kept to BATCH records."""
     spark = df.sparkSession
     small_batches(spark)
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_A_FILE + 1)
     path = f"{shared_folder(spark)}/weft-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -56,9 +61,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
-def release(df: DataFrame) -> None:
-    """Delete the table of a cut() that no later plan reads."""
-    _delete(df.sparkSession, df.weft_path)
+def held(df: DataFrame) -> DataFrame:
+    """df, computed now and kept on the executors' disks: for what is read several times before the next cut(). What a lost
+    executor held is computed again."""
+    small_batches(df.sparkSession)
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what held(), or the table that cut(), has written; no later plan may read it."""
+    for df in frames:
+        if hasattr(df, "weft_path"):
+            _delete(df.sparkSession, df.weft_path)
+        else:
+            df.unpersist()
 
 
 @contextmanager

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from weft.llm import textops as T
-from weft.llm.common import cut, shuffle_partitions
+from weft.llm.common import cut, held, release, shuffle_partitions
 from weft.llm.components import components, forest
 
 #: Similarity from which documents link, as a fraction of whole numbers.
@@ -370,7 +370,7 @@ def _by_block_pairs(rows: DataFrame, run, weight: Column, blocks: tuple[int, int
     """rows: node, label (of its group), n, and packed data, which weighs ``weight``. Deals each group of two nodes or more into
     blocks and gives run(nodes, n, data, side) each pair of them: pairs (u, v)."""
     least, most, many = blocks
-    groups = cut(rows.groupBy("label").agg(F.sum(weight).alias("weight"), F.count("*").alias("members")))
+    groups = rows.groupBy("label").agg(F.sum(weight).alias("weight"), F.count("*").alias("members"))
     dealt_in = F.greatest(F.least(F.ceil(F.col("weight") / least), F.lit(many)), F.ceil(F.col("weight") / most))
     blocks = groups.where("members > 1").select("label", dealt_in.cast("int").alias("blocks"))
     dealt = rows.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -393,15 +393,22 @@ def _by_block_pairs(rows: DataFrame, run, weight: Column, blocks: tuple[int, int
     return units.repartitionByRange(2 * shuffle_partitions(rows.sparkSession), "label", "i", "j").groupBy("label", "i", "j").applyInArrow(compare, "u long, v long")
 
 
-def _pairs_that_may_link(groups: DataFrame, nodes: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    rows = cut(groups.join(nodes.select("node", "n", F.col("bits").alias("data")), "node"))
-    return _by_block_pairs(rows, lambda node, n, data, side: possible(node, n, data, side, similar), F.lit(1), BITMAP_BLOCKS)
+def groups_that_may_link(edges: DataFrame, nodes: DataFrame, there: int, similar: tuple[int, int]) -> DataFrame:
+    """node, label of the nodes that bitmaps let be similar to another node of their component of the edges, in groups of these."""
+    first = components(edges, there)
+    rows = held(first.join(nodes.select("node", "n", F.col("bits").alias("data")), "node"))
+    groups = components(_by_block_pairs(rows, lambda node, n, data, side: possible(node, n, data, side, similar), F.lit(1), BITMAP_BLOCKS), there)
+    release(first, rows)
+    return groups
 
 
-def _links(sets: DataFrame, groups: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def linked_nodes(sets: DataFrame, groups: DataFrame, there: int, similar: tuple[int, int]) -> DataFrame:
+    """node, label of the components of similar sets, of two nodes or more."""
     # a set of the same node may come from several tasks
-    rows = cut(sets.join(groups, "node").dropDuplicates(["node"]).select("node", "label", F.expr("length(set) div 8").alias("n"), F.col("set").alias("data")))
-    return _by_block_pairs(rows, lambda node, _, data, side: linked(node, data, side, similar), F.col("n"), SET_BLOCKS)
+    rows = held(sets.join(groups, "node").dropDuplicates(["node"]).select("node", "label", F.expr("length(set) div 8").alias("n"), F.col("set").alias("data")))
+    labels = components(_by_block_pairs(rows, lambda node, _, data, side: linked(node, data, side, similar), F.col("n"), SET_BLOCKS), there)
+    release(rows)
+    return labels
 
 
 def with_nodes(docs: DataFrame, words: int) -> DataFrame:
@@ -421,20 +428,23 @@ def _components_of(docs: DataFrame, words: int, similar: tuple[int, int]) -> tup
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = cut(facts(texts, words))
     every = found.where("k is null").select("doc_id", "n", "node", "bits")
-    nodes = cut(every.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+    nodes = held(every.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+    there, shingles = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # 8 bytes for each of the keys, of which there are about half as many as shingles
-    parts = max(2 * shuffle_partitions(docs.sparkSession), int((nodes.agg(F.sum("n")).first()[0] or 0) * 4 // PART_BYTES) + 1)
+    parts = max(2 * shuffle_partitions(docs.sparkSession), shingles * 4 // PART_BYTES + 1)
     edges = index(texts.select("text"), parts, words, similar, frequency_levels(found)).groupBy("part").applyInArrow(_shared, "u long, v long")
-    groups = components(_pairs_that_may_link(components(edges), nodes, similar))
-    labels = components(_links(sets_of(texts.select("text"), words, node_filter(groups)), groups, similar))
-    return every, cut(nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")))
+    groups = groups_that_may_link(edges, nodes, there, similar)
+    labels = linked_nodes(sets_of(texts.select("text"), words, node_filter(groups)), groups, there, similar)
+    out = cut(nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label")), there)
+    release(nodes, groups, labels)
+    return every, out
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     every, nodes = _components_of(docs, words, similar)
     least = nodes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = cut(nodes.join(least, "label").select("node", "component_id"))
+    of = nodes.join(least, "label").select("node", "component_id")
     linked_ = every.where("n > 0").join(of, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked_.union(every.where("n = 0").select("doc_id", "n", "doc_id"))
 
@@ -444,7 +454,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similar: tuple[int, int] = SIMI
     the smallest node; rows without words are kept."""
     _, nodes = _components_of(docs, words, similar)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
-    kept = cut(nodes.groupBy("label").agg(first.alias("kept")).select("label", F.col("kept.doc_id").alias("kept_id"), F.col("kept.node").alias("weft_node")))
+    kept = nodes.groupBy("label").agg(first.alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.node").alias("weft_node"))
     marked = with_nodes(docs, words)
     names = [f"`{c}`" for c in docs.columns]
     same_id = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))

@@ -4,7 +4,7 @@ Each source has a weight and a schedule, a piecewise linear multiplier over trai
 the integrated weights, at most ``most_epochs`` times a source's words, the excess reshared by weight until none is above
 (the water level is found in closed form from prefix sums over the sources). A source's cumulative demand is its target times
 the integral of its schedule; inverting it at the words that stand before a document gives the document's training
-position. Documents are range-sorted by position.
+position, of its first use and, a lap over the source later, of each further one. Documents are range-sorted by position.
 
 Within a source, documents stand in the order of a hash. Words before a document are summed in two levels, over hash buckets
 and within one, so that a source with any share of all rows is spread over all tasks.
@@ -76,14 +76,14 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3
     )
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most_epochs: int = MOST_EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document, range-sorted by position: doc_id, source, size, source_size, target, taken, position, and the
-    columns named in ``keep``. Position is that of its first use; the n-th later one is at the n-th further lap."""
+def _placed(docs: DataFrame, weights: tuple[float, ...], most_epochs: int, rows: bool) -> DataFrame:
+    """One row per document: doc_id, source, size, the words of its source that stand before it (start), source_size, target,
+    schedule; with ``rows``, the document's own columns as the struct row."""
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        *(F.col(c) for c in keep),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if rows else []),
     )
     spin = F.xxhash64("doc_id", "size")
     slim = cut(sized.withColumn("spin", spin).withColumn("bucket", F.pmod(spin, F.lit(BUCKETS))))
@@ -93,20 +93,39 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most_epoc
     starts = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0)))
     facts = starts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "bucket", "bucket_start", "source_size", "target", "schedule")
     in_bucket = Window.partitionBy("source", "bucket").orderBy("spin", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
+    return (
         slim.withColumn("within", F.coalesce(F.sum("size").over(in_bucket), F.lit(0))).alias("d")
         .join(facts.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.bucket") == F.col("f.bucket")))
-        .select("d.*", "bucket_start", "source_size", "target", "schedule")
+        .select("d.*", "bucket_start", F.col("source_size").cast("long").alias("source_size"), "target", "schedule")
         .withColumn("start", F.col("bucket_start") + F.col("within"))
-    )
-    whole = F.round("target").cast("long")
-    wanted = [F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("start") - lap * F.col("source_size").cast("long"))) for lap in range(most_epochs)]
-    fraction = F.when(F.col("target") > 0, F.col("start") / F.col("target")).otherwise(F.lit(1.0))
-    out = placed.select(
-        "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target",
-        sum(wanted[1:], wanted[0]).cast("long").alias("taken"), position(fraction, F.col("schedule")).alias("position"), *keep,
     )
-    return out
+
+
+def _wanted(lap: int) -> Column:
+    """Words of the document that the mix takes in this lap over its source."""
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - F.col("start") - lap * F.col("source_size")))
+
+
+def _position(lap: int) -> Column:
+    begin = F.col("start") + lap * F.col("source_size")
+    return position(F.when(F.col("target") > 0, begin / F.col("target")).otherwise(F.lit(1.0)), F.col("schedule"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most_epochs: int = MOST_EPOCHS) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, and position, that of its first use; ``positions``
+    has those of all its uses, in order."""
+    placed = _placed(docs, weights, most_epochs, False)
+    wanted = [_wanted(lap) for lap in range(most_epochs)]
+    every = F.array_compact(F.array(*(F.when(wanted[lap] > 0, _position(lap)) for lap in range(most_epochs))))
+    return placed.select("doc_id", "source", "size", "source_size", "target", sum(wanted[1:], wanted[0]).cast("long").alias("taken"), _position(0).alias("position"), every.alias("positions"))
+
+
+def uses(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most_epochs: int = MOST_EPOCHS) -> DataFrame:
+    """The rows of docs, with their columns alone, as often as the mix uses them, range-sorted by the position of each use. A
+    document is used whole: where the mix takes a part of it, if that is half of its words or more."""
+    placed = _placed(docs, weights, most_epochs, True)
+    laps = F.array_compact(F.array(*(F.when((_wanted(lap) > 0) & (2 * _wanted(lap) >= F.col("size")), _position(lap)) for lap in range(most_epochs))))
+    return in_order(placed.select("doc_id", "row", F.explode(laps).alias("position"))).select("row.*")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

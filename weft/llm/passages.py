@@ -1,40 +1,49 @@
 """Substring dedup: fuzzy passages that repeat across documents, by collinear chaining of k-mer seeds.
 
 Seeds are k-word windows whose hash is the smallest of ``window`` neighbours, so any common run of window + k - 1 words has a
-common seed. Seeds go to the task of their hash; the smallest document with a seed owns it, and every place of it in another document
-gets one match with the owner's first, so a seed at any number of places yields a linear number of matches. For each document
-and owner, matches on one diagonal merge into runs, and the runs are chained: a Fenwick tree over the owner's positions holds
-the best chain that ends before, under a cost for the words a gap skips. Chains that together cover a long enough part of the
+common seed. A document has a key, the hash of its id and text; of the documents with a seed the one of the smallest id owns it
+(of null ids none but when all are, then the smallest key), and each place of the seed in another document gets one match with the owner, places and the owner's places paired in order (again
+from the owner's first when it has fewer), so a seed at any number of places yields a linear number of matches. A task first matches
+what it has read with owners of its own and sends only these on, so a seed that any share of all documents has is one document's
+for each task; the owners are then matched in the task of the seed's hash. For each document and owner, matches on one
+diagonal merge into runs, and the runs are chained: a Fenwick tree over the owner's positions holds the best chains that end
+before, the expired ones dropped, under a cost for the words a gap skips. Chains that together cover a long enough part of the
 document are aligned word by word with the owner's text: along the runs' diagonals, each gap at its best switch from one to
 the next, the ends as far as they agree. Aligned chains of one document that touch join to passages, as long as the words that
 some chain matches, without those between chains, make the share of the whole.
 
 Defined results: a null text, or one below k words, has no seeds; a passage must have ``least`` words or more, of which 3 in 4
-agree, and so must each aligned part; a repeat within one document is none
-(each copy of what a smaller document has is one); rows that repeat an id are one document's (the seeds of all,
-the words of the first by hash); other columns are not read.
+agree, and so must each aligned part; a repeat within one document is none (each copy of what another document owns is one);
+which of several owners a passage
+is aligned with follows from how the input is split into tasks; rows equal in id and text are one document, rows that share an id but not the text are documents of their own, and so are
+rows with a null id (the result names them by null); other columns are not read; columns named weft_key and weft_spans are reserved.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import textops as T
-from weft.llm.common import cut, shuffle_partitions
+from weft.llm.common import cut, parts_for
 
 K, WINDOW = 6, 10
+#: Stands for a null id: after all others.
+LAST = (1 << 63) - 1
 #: Words of a passage at least; share of aligned words that agree; words between chains that still touch.
 LEAST, AGREE, TOUCH = 50, 0.75, 16
 #: Words that a gap within a chain skips at most, and what each costs in anchor words.
 WIDEST_GAP, GAP_COST = 40, 0.4
 #: Words beyond a chain's ends that alignment looks at; extracts start and end at multiples of STEP words.
 FLANK, STEP = 24, 32
-FLUSH = 2_000_000
+#: Seeds that a task matches and packs at once, and bytes of seeds that a part holds about.
+FLUSH, PART_BYTES = 500_000, 16 << 20
 
 
 def minima(h: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
@@ -53,30 +62,59 @@ def minima(h: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
     return picked
 
 
-def seeds(docs: DataFrame, parts: int) -> DataFrame:
-    """part, and packed: ids of documents, then for each seed the place of its document, its first word and its hash."""
+def paired(number: np.ndarray, doc: np.ndarray, word: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the seeds, once each, by (hash, number of the document, its key, word); for each of them the index of its
+    owner's place among these, and whether it is the owner's itself."""
+    order = np.lexsort((word, doc, number, h))
+    doc, word, h = doc[order], word[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])
+    order, doc, h = order[new], doc[new], h[new]
+    every = np.arange(len(h))
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else every
+    head = np.repeat(first, np.diff(np.append(first, len(h))))
+    start = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else every
+    count = np.diff(np.append(start, len(h)))
+    place = every - np.repeat(start, count)
+    owned = np.zeros(len(h), np.int64)
+    owned[start] = count
+    return order, head + place % np.maximum(owned[head], 1), doc == doc[head]
+
+
+def seeds(texts: DataFrame, parts: int) -> DataFrame:
+    """texts: doc (key), number (id), text. part, and packed: keys and numbers of documents, then for each seed the place of its document, its first word and its
+    hash; a row without hashes has matches of the task's own: documents, their words, the owners and their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
+        numbers: list[np.ndarray] = []
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        texts = size = 0
+        texts_ = size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal texts, size
+            nonlocal texts_, size
             if not held:
                 return
             place, word, h = (np.concatenate(x) for x in zip(*held, strict=True))
-            every = np.concatenate(ids)
+            every, number = np.concatenate(ids), np.concatenate(numbers)
+            order, owner, own = paired(number[place], every[place], word, h)
+            place, word, h = place[order], word[order], h[order]
+            other = np.flatnonzero(~own)
+            for k in range(0, len(other), 100_000):
+                some = other[k : k + 100_000]
+                yield _seed_batch(int((len(every) + k) % parts), every[place[some]], word[some], every[place[owner[some]]], word[owner[some]], None, None)
+            place, word, h = place[own], word[own], h[own]
             part = ((h >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edges)):
                 at = order[edges[p] : edges[p + 1]]
                 used, local = np.unique(place[at], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([int(p)]), *(pa.array([x.tobytes()], pa.binary()) for x in (every[used], local.astype(np.int32), word[at].astype(np.int32), h[at]))], names=["part", "ids", "place", "word", "hash"])
+                yield _seed_batch(int(p), every[used], word[at], local.astype(np.int32), None, h[at], number[used])
             ids.clear()
+            numbers.clear()
             held.clear()
-            texts = size = 0
+            texts_ = size = 0
 
         for batch in batches:
             for i, j, data, offsets in T.slices(T.text_column(batch)):
@@ -85,58 +123,76 @@ def seeds(docs: DataFrame, parts: int) -> DataFrame:
                 first = np.searchsorted(at, bounds)
                 picked = np.flatnonzero(minima(grams, first, WINDOW))
                 place = T.owner(first)[picked]
-                ids.append(np.asarray(batch.column(0).slice(i, j - i).to_pylist(), np.int64))
-                held.append((place + texts, at[picked] - bounds[place], grams[picked]))
-                texts += j - i
+                ids.append(batch.column(0).slice(i, j - i).to_numpy())
+                numbers.append(pc.fill_null(batch.column(1).slice(i, j - i), LAST).to_numpy())
+                held.append((place + texts_, (at[picked] - bounds[place]).astype(np.int32), grams[picked]))
+                texts_ += j - i
                 size += len(picked)
                 if size >= FLUSH:
                     yield from flush()
         yield from flush()
 
-    return docs.mapInArrow(run, "part long, ids binary, place binary, word binary, hash binary")
+    return texts.mapInArrow(run, "part long, docs binary, word binary, place binary, other_word binary, hash binary, numbers binary")
+
+
+def _seed_batch(part: int, *columns: np.ndarray | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part]), *(pa.array([None if x is None else x.tobytes()], pa.binary()) for x in columns)], names=["part", "docs", "word", "place", "other_word", "hash", "numbers"])
+
+
+def _match_batch(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "word", "other", "other_word"])
 
 
 def _matches(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each seed that two documents or more have: (document, its word, owner, the owner's word)."""
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, ...]] = []
     for batch in rows:
-        for n, at, word, h in zip(*(batch.column(c) for c in ("ids", "place", "word", "hash")), strict=True):
-            parts.append((np.frombuffer(n.as_buffer(), np.int64)[np.frombuffer(at.as_buffer(), np.int32)], np.frombuffer(word.as_buffer(), np.int32), np.frombuffer(h.as_buffer(), np.uint64)))
-    doc, word, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(h, kind="stable")
-    doc, word, h = doc[order], word[order], h[order]
-    shared = np.zeros(len(h), bool)
-    shared[1:] = h[1:] == h[:-1]
-    shared[:-1] |= shared[1:]
-    doc, word, h = doc[shared], word[shared], h[shared]
-    if not len(h):
+        for docs, word, place, other_word, h, number in zip(*batch.columns[1:], strict=True):
+            doc, word = np.frombuffer(docs.as_buffer(), np.int64), np.frombuffer(word.as_buffer(), np.int32)
+            if h.is_valid:
+                at = np.frombuffer(place.as_buffer(), np.int32)
+                parts.append((np.frombuffer(number.as_buffer(), np.int64)[at], doc[at], word, np.frombuffer(h.as_buffer(), np.uint64)))
+            else:
+                yield _match_batch(doc, word, np.frombuffer(place.as_buffer(), np.int64), np.frombuffer(other_word.as_buffer(), np.int32))
+    if not parts:
         return
-    order = np.lexsort((word, doc, h))
-    doc, word, h = doc[order], word[order], h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    head = np.repeat(first, np.diff(np.append(first, len(h))))
-    other = doc != doc[head]
+    number, doc, word, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(h, kind="stable")
+    again = np.zeros(len(h), bool)
+    again[1:] = h[order[1:]] == h[order[:-1]]
+    again[:-1] |= again[1:]
+    some = order[again]
+    number, doc, word, h = number[some], doc[some], word[some], h[some]
+    order, owner, own = paired(number, doc, word, h)
+    doc, word = doc[order], word[order]
     for k in range(0, len(doc), 50_000):
-        some = np.flatnonzero(other[k : k + 50_000]) + k
-        yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(word[some]), pa.array(doc[head[some]]), pa.array(word[head[some]])], names=["doc_id", "word", "other", "other_word"])
+        some = np.flatnonzero(~own[k : k + 50_000]) + k
+        if len(some):
+            yield _match_batch(doc[some], word[some], doc[owner[some]], word[owner[some]])
 
 
 class Fenwick:
-    """Largest value, with its item, over prefixes of the positions 1..n."""
+    """Largest value, with its item, over prefixes of the positions 1..n, of the items that have not expired."""
 
-    def __init__(self, n: int) -> None:
-        self.best: list[tuple[float, int]] = [(float("-inf"), -1)] * (n + 1)
+    def __init__(self, n: int, expires: np.ndarray) -> None:
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(n + 1)]
+        self.expires = expires
 
     def put(self, at: int, value: float, item: int) -> None:
-        while at < len(self.best):
-            if value > self.best[at][0]:
-                self.best[at] = (value, item)
+        while at < len(self.heaps):
+            heappush(self.heaps[at], (-value, item))
             at += at & -at
 
-    def most(self, at: int) -> tuple[float, int]:
+    def most(self, at: int, now: int) -> tuple[float, int]:
+        """now must not fall from one call to the next."""
         out = (float("-inf"), -1)
         while at > 0:
-            out = max(out, self.best[at])
+            heap = self.heaps[at]
+            while heap and self.expires[heap[0][1]] < now:
+                heappop(heap)
+            if heap and -heap[0][0] > out[0]:
+                out = (-heap[0][0], heap[0][1])
             at -= at & -at
         return out
 
@@ -155,30 +211,12 @@ def merged_runs(word: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def chain(runs: np.ndarray) -> list[np.ndarray]:
-    """Disjoint collinear chains of runs, the best first. The cost of a gap is linear in the words skipped on both sides, so
-    that it splits into a term of the end of one run and one of the start of the next."""
+    """Disjoint collinear chains of runs, the best first. A run may follow one that ends at most K - 1 words after its start in
+    both texts, starts before it in both, and ends at most WIDEST_GAP words before it in the document. The cost of a gap
+    is linear in the words skipped on both sides, so that it splits into a term of the end of one run and one of the start of the next."""
     if len(runs) == 1:
         return [runs]
-    start, end, other = runs[:, 0], runs[:, 1], runs[:, 2]
-    other_end = other + (end - start)
-    places = np.unique(other_end)
-    gain = (end - start).astype(float)
-    score, back = gain.copy(), np.full(len(runs), -1)
-    tree = Fenwick(len(places))
-    by_end = np.argsort(end, kind="stable")
-    done = 0
-    for i in range(len(runs)):  # by start; runs that end before it (but for an overlap of a seed) are in the tree
-        while done < len(runs) and end[by_end[done]] <= start[i] + K - 1:
-            j = int(by_end[done])
-            if j < i:
-                tree.put(int(np.searchsorted(places, other_end[j])) + 1, float(score[j] + GAP_COST / 2 * (end[j] + other_end[j])), j)
-            done += 1
-        value, j = tree.most(int(np.searchsorted(places, other[i] + K - 1, "right")))
-        if j >= 0 and start[i] - end[j] <= WIDEST_GAP and other[i] - other_end[j] <= WIDEST_GAP and start[i] > start[j] and other[i] > other[j]:
-            joined = value - GAP_COST / 2 * (start[i] + other[i])
-            if joined > 0:
-                score[i] += joined
-                back[i] = j
+    score, back = chain_scores(runs)
     used = np.zeros(len(runs), bool)
     out = []
     for i in np.argsort(-score, kind="stable"):
@@ -192,6 +230,27 @@ def chain(runs: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def chain_scores(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the best chain that ends with each run: its score, and the run before (-1: none)."""
+    start, end, other = runs[:, 0], runs[:, 1], runs[:, 2]
+    other_end = other + (end - start)
+    places = np.unique(other_end)
+    score, back = (end - start).astype(float), np.full(len(runs), -1)
+    tree = Fenwick(len(places), end + WIDEST_GAP)
+    by_end = np.argsort(end, kind="stable")
+    done = 0
+    for i in range(len(runs)):  # by start; all runs of K words, so one that ends at most K - 1 words after a start starts before it
+        while done < len(runs) and end[by_end[done]] <= start[i] + K - 1:
+            j = int(by_end[done])
+            tree.put(int(np.searchsorted(places, other_end[j])) + 1, float(score[j] + GAP_COST / 2 * (end[j] + other_end[j])), j)
+            done += 1
+        value, j = tree.most(int(np.searchsorted(places, other[i] + K - 1, "right")), int(start[i]))
+        if j >= 0 and (gained := value - GAP_COST / 2 * (start[i] + other[i])) > 0:
+            score[i] += gained
+            back[i] = j
+    return score, back
+
+
 def joined(spans: list[tuple[int, int]], touch: int) -> list[tuple[int, int]]:
     """Union of spans, those with at most ``touch`` words between made one."""
     out: list[list[int]] = []
@@ -246,7 +305,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 oz = int((c[:, 2] + c[:, 1] - c[:, 0]).max())
                 low = [max(0, v - FLANK) // STEP * STEP for v in (a, o)]
                 high = [-(-(v + FLANK) // STEP) * STEP for v in (b, oz)]
-                rows.append((int(m["doc_id"][0]), who, low[0], high[0], low[1], high[1], c.astype(np.int64).tobytes()))
+                rows.append((int(m["doc"][0]), who, low[0], high[0], low[1], high[1], c.astype(np.int64).tobytes()))
         if len(rows) > 2000:
             yield _chain_batch(rows)
             rows = []
@@ -254,12 +313,12 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _chain_batch(rows)
 
 
-CHAIN_SCHEMA = "doc_id long, other long, a long, z long, other_a long, other_z long, runs binary"
+CHAIN_SCHEMA = "doc long, other long, a long, z long, other_a long, other_z long, runs binary"
 
 
 def _chain_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names=["doc_id", "other", "a", "z", "other_a", "other_z", "runs"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names=["doc", "other", "a", "z", "other_a", "other_z", "runs"])
 
 
 def widest(start: np.ndarray, end: np.ndarray, gain: np.ndarray, least: int) -> list[tuple[int, int] | None]:
@@ -336,14 +395,21 @@ def align(x: np.ndarray, y: np.ndarray, runs: np.ndarray) -> tuple[int, int, int
     return start, at, start + int(diagonal[0]), at + d, np.concatenate(same)
 
 
-def passages(docs: DataFrame, least: int = LEAST, agree: float = AGREE) -> DataFrame:
-    """Aligned chains, the parts of passages: doc_id, other_doc_id (smaller), start_word and end_word of the document's passage,
-    part_start, part_end, other_start, other_end of the aligned part, and n_agree of its words. Words count from 0, ends are exclusive."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    spark = docs.sparkSession
-    found = seeds(texts, 2 * shuffle_partitions(spark)).groupBy("part").applyInArrow(_matches, "doc_id long, word int, other long, other_word int")
-    chains = cut(found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_chains, CHAIN_SCHEMA))
-    wanted = chains.select("doc_id", "a", "z").union(chains.select("other", "other_a", "other_z")).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("ranges"))
+def with_keys(docs: DataFrame) -> DataFrame:
+    """The rows of docs, and weft_key: the document's key."""
+    return docs.withColumn("weft_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+
+
+PARTS = ["doc", "other", "part_start", "part_end", "other_start", "other_end", "n_agree"]
+SPANS = ["doc", "start_word", "end_word", "n_parts", *PARTS[1:]]
+
+
+def _spans(docs: DataFrame, least: int, agree: float) -> DataFrame:
+    """One row for each passage: the document's key, start and end, how many aligned parts it has, and the part of most words."""
+    texts = with_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")).select(F.col("weft_key").alias("doc"), F.col("doc_id").alias("number"), "text")
+    found = seeds(texts, parts_for(docs, PART_BYTES)).groupBy("part").applyInArrow(_matches, "doc long, word int, other long, other_word int")
+    chains = cut(found.repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains, CHAIN_SCHEMA))
+    wanted = chains.select("doc", "a", "z").union(chains.select("other", "other_a", "other_z")).distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("ranges"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -354,12 +420,12 @@ def passages(docs: DataFrame, least: int = LEAST, agree: float = AGREE) -> DataF
                 rows = [(ids[r], g["a"], g["z"], h[bounds[r - i] : bounds[r - i + 1]][g["a"] : g["z"]].tobytes()) for r in range(i, j) for g in ranges[r]]
                 c = list(zip(*rows, strict=True))
                 if c:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in c[:3]), pa.array(c[3], pa.binary())], names=["doc_id", "a", "z", "words"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in c[:3]), pa.array(c[3], pa.binary())], names=["doc", "a", "z", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, other, a, o, runs, x, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "other", "a", "other_a", "runs", "words", "other_words")), strict=True):
+            for doc, other, a, o, runs, x, y in zip(*(batch.column(c).to_pylist() for c in ("doc", "other", "a", "other_a", "runs", "words", "other_words")), strict=True):
                 at = np.frombuffer(runs, np.int64).reshape(-1, 3) - np.array([a, a, o])
                 s, e, os, oe, same = align(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), at)
                 if e > s and same.sum() >= agree * (e - s):
@@ -368,35 +434,51 @@ def passages(docs: DataFrame, least: int = LEAST, agree: float = AGREE) -> DataF
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], names=[*PARTS, "same"])
 
-    words = texts.join(wanted, "doc_id").select("doc_id", "text", "ranges").mapInArrow(extract, "doc_id long, a long, z long, words binary")
-    words = cut(words.withColumn("crc", F.xxhash64("words")).groupBy("doc_id", "a", "z").agg(F.min(F.struct("crc", "words"))["words"].alias("words")))
+    once = texts.join(wanted, "doc").dropDuplicates(["doc"])
+    words = cut(once.select("doc", "text", "ranges").mapInArrow(extract, "doc long, a long, z long, words binary"))
     own = words.hint("merge")
-    others = words.select(F.col("doc_id").alias("other"), F.col("a").alias("other_a"), F.col("z").alias("other_z"), F.col("words").alias("other_words")).hint("merge")
-    aligned = chains.join(own, ["doc_id", "a", "z"]).join(others, ["other", "other_a", "other_z"]).select("doc_id", "other", "a", "other_a", "runs", "words", "other_words").mapInArrow(run, ", ".join(f"{c} long" for c in PARTS) + ", same binary")
+    others = words.select(F.col("doc").alias("other"), F.col("a").alias("other_a"), F.col("z").alias("other_z"), F.col("words").alias("other_words")).hint("merge")
+    aligned = chains.join(own, ["doc", "a", "z"]).join(others, ["other", "other_a", "other_z"]).select("doc", "other", "a", "other_a", "runs", "words", "other_words").mapInArrow(run, ", ".join(f"{c} long" for c in PARTS) + ", same binary")
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list[int]] = []
         for m in _by_document(batches):
             start, end = m["part_start"], m["part_end"]
             same = [np.unpackbits(np.frombuffer(x, np.uint8), count=e - s).astype(bool) for x, s, e in zip(m["same"], start, end, strict=True)]
-            where = united(start, end, same, least, agree)
-            keep = np.array([w is not None for w in where])
-            if keep.any():
-                columns = [pa.array(m[c][keep]) for c in PARTS]
-                yield pa.RecordBatch.from_arrays([*columns[:2], *(pa.array([w[k] for w in where if w], pa.int64()) for k in (0, 1)), *columns[2:]], names=RESULT)
+            of: dict[tuple[int, int], list[int]] = {}
+            for i, w in enumerate(united(start, end, same, least, agree)):
+                if w:
+                    of.setdefault(w, []).append(i)
+            for w, parts in of.items():
+                best = max(parts, key=lambda i: (m["n_agree"][i], -m["other"][i], -start[i], -end[i]))
+                rows.append([int(m["doc"][0]), *w, len(parts), *(int(m[c][best]) for c in PARTS[1:])])
+            if len(rows) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=SPANS)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=SPANS)
+
+    return aligned.repartition("doc").sortWithinPartitions("doc", "part_start", "other").mapInArrow(unite, ", ".join(f"{c} long" for c in SPANS))
 
-    return aligned.repartition("doc_id").sortWithinPartitions("doc_id", "part_start", "other_doc_id").mapInArrow(unite, ", ".join(f"{c} long" for c in RESULT))
 
+RESULT = ["doc_id", "start_word", "end_word", "n_parts", "other_doc_id", *PARTS[2:]]
 
-PARTS = ["doc_id", "other_doc_id", "part_start", "part_end", "other_start", "other_end", "n_agree"]
-RESULT = ["doc_id", "other_doc_id", "start_word", "end_word", "part_start", "part_end", "other_start", "other_end", "n_agree"]
+
+def passages(docs: DataFrame, least: int = LEAST, agree: float = AGREE) -> DataFrame:
+    """A row for each passage: doc_id, start_word and end_word, n_parts (aligned with owners), and of the part of most agreeing
+    words: other_doc_id, part_start, part_end, other_start, other_end, n_agree. Words count from 0, ends are exclusive."""
+    names = cut(with_keys(docs.select("doc_id", "text").where("text is not null")).select("weft_key", F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    spans = _spans(docs, least, agree).join(names.select(F.col("weft_key").alias("doc"), "doc_id"), "doc")
+    return spans.join(names.select(F.col("weft_key").alias("other"), F.col("doc_id").alias("other_doc_id")), "other").select(RESULT)
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, agree: float = AGREE) -> DataFrame:
-    """The documents, each without the passages that repeat one of a smaller document; what ends up without a word goes.
+    """The documents, each without the passages that repeat one of their owner; what ends up without a word goes.
     n_chars, where there is one, counts again."""
-    spans = passages(docs, least, agree).select("doc_id", "start_word", "end_word").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("weft_spans"))
-    rest = docs.join(spans, "doc_id", "left")
-    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+    spans = _spans(docs, least, agree).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("weft_spans"))
+    names = docs.columns
+    rest = with_keys(docs).join(spans.withColumnRenamed("doc", "weft_key"), "weft_key", "left").select(*(f"`{c}`" for c in names), "weft_spans")
+    count = names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -416,7 +498,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, agree: float = AGREE) -
                 columns[count] = pa.array(sizes, batch.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(keep))
 
-    return rest.select(*docs.columns, "weft_spans").mapInArrow(run, docs.schema)
+    return rest.mapInArrow(run, docs.schema)
 
 
 def _removed(text: str, spans: list[tuple[int, int]]) -> str:

@@ -146,8 +146,12 @@ def scorer(weights: np.ndarray | None):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows whose score reaches the threshold, with their columns, scored in the pass that reads them."""
-    score = scorer(fit(docs, labels))
+    """The rows whose score reaches the threshold, with their columns, scored in the pass that reads them; all rows where there are no
+    labels to learn from."""
+    weights = fit(docs, labels)
+    if weights is None:
+        return docs
+    score = scorer(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
