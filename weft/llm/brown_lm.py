@@ -421,7 +421,7 @@ def history_counts(train: DataFrame, words: DataFrame, model: Model, parts: int)
             h, cls = np.frombuffer(own["h"][0].as_py(), np.uint64), np.frombuffer(own["cls"][0].as_py(), np.uint8)
             for x, n, history in zip(*(rows[c].to_pylist() for c in "abc"), strict=True):
                 c = np.repeat(cls[np.searchsorted(h, np.frombuffer(x, np.uint64))].astype(np.int64), np.frombuffer(n, np.uint32))
-                total += np.bincount(np.frombuffer(history, np.uint8) * width + c, minlength=size)
+                total += np.bincount(np.frombuffer(history, np.uint8).astype(np.int64) * width + c, minlength=size)
         return pa.Table.from_batches(_table_rows(total), pa.schema([("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary())]))
 
     counted = train.mapInArrow(count, "part long, a binary, b binary, c binary").groupBy("part").cogroup(words.groupBy("part")).applyInArrow(classify, "part long, a binary, b binary")
