@@ -488,6 +488,18 @@ def test_language(docs, empty):
     assert language_id.language_id(empty).count() == 0
 
 
+def test_language_filters_return_all_languages_of_a_gram(spark):
+    d = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("abcd abcd", "x"), ("abcd wxyz", "y"), ("wxyz", "z"), ("qrst", "z")])], "doc_id long, text string, lang string")
+    filters = language_id.fit(d, hold_out=(1 << 30, 7))
+    assert filters.langs == ["x", "y", "z"]
+    for word, langs in (("abcd", 3), ("wxyz", 6), ("qrst", 4)):
+        for _, _, data, offsets in T.slices(pa.array([word])):
+            for h, _ in language_id.grams(data, offsets):
+                assert all(int(m) & langs == langs for m in filters.look_up(h, 0))
+    names, scores = language_id.predict(filters, pa.array(["abcd", "wxyz qrst", None, "12"]))
+    assert names == ["x", "z", "und", "und"] and 0 < scores[0] <= 1 and scores[2] == 0
+
+
 def test_language_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = language_id.language_id(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").toPandas()

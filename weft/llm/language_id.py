@@ -1,8 +1,9 @@
 """Language ID with bit-sliced Bloom filters over byte n-grams.
 
 One slot of the filter holds a bit mask of languages; an n-gram's mask is the AND of its slots, so one look-up returns all
-languages that hold the n-gram. A text counts, for each language, the n-grams whose mask has its bit; each count is
-corrected by the language's false-positive rate (its fill to the power of the number of slots), and the largest decides.
+languages that hold the n-gram, which are all in whose texts it was seen. An n-gram of a text is a vote that the languages of its mask
+share (one over the mask's popcount to each); each language's votes are corrected by its false-positive rate (its fill to
+the power of the number of slots), and the largest decides.
 
 Learned from about ``fit_rows`` texts of each language, taken by hash of the id; the filter has a fixed size. Defined
 results: ``und`` with score 0 for a null text or one with no letter, and for every text when nothing was learned; ties go
@@ -26,8 +27,6 @@ FIT_ROWS = 1024
 SLOTS = 1 << 18
 HASHES = 2
 SIZES = (2, 3, 4)
-#: An n-gram belongs to a language if it makes this share of the language's n-grams and this part of its highest share.
-LEAST_SHARE, LEAST_PART = 2e-6, 0.2
 
 FOLDED = np.full(256, 32, np.uint8)
 FOLDED[65:91] = np.arange(97, 123)
@@ -64,7 +63,7 @@ def slots(h: np.ndarray, k: int) -> np.ndarray:
     return ((h * np.uint32((0x9E3779B1, 0x7FEB352D, 0x846CA68B)[k])) >> np.uint32(14)) & np.uint32(SLOTS - 1)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         texts = _folded(T.text_column(batch))
@@ -72,8 +71,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for h, first in grams(data, offsets):
                 own = np.repeat(langs[i:j], np.diff(first))
                 for lang in sorted(set(langs[i:j])):
-                    g, n = np.unique(h[own == lang], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+                    g = np.unique(h[own == lang])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64))], names=["lang", "gram"])
 
 
 class Filters:
@@ -92,17 +91,14 @@ class Filters:
 
 
 def build(counted: DataFrame) -> Filters:
-    """Filters from counts by language and n-gram (of a sample of bounded size)."""
-    rows = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    """Filters from the n-grams of each language (of a sample of bounded size)."""
+    rows = counted.select("lang", "gram").distinct().toPandas()
     langs = sorted(set(rows["lang"]))
     masks = np.zeros((SLOTS, max(1, -(-len(langs) // 64))), np.uint64)
-    if langs:
-        share = rows["n"] / rows.groupby("lang")["n"].transform("sum")
-        keep = (share >= LEAST_SHARE) & (share >= LEAST_PART * share.groupby(rows["gram"]).transform("max"))
-        for i, lang in enumerate(langs):
-            g = rows["gram"][keep & (rows["lang"] == lang)].to_numpy().astype(np.uint32)
-            for k in range(HASHES):
-                np.bitwise_or.at(masks[:, i // 64], slots(g, k), np.uint64(1 << i % 64))
+    for i, lang in enumerate(langs):
+        g = rows["gram"][rows["lang"] == lang].to_numpy().astype(np.uint32)
+        for k in range(HASHES):
+            masks[slots(g, k), i // 64] |= np.uint64(1 << i % 64)
     return Filters(langs, masks)
 
 
@@ -116,12 +112,13 @@ def predict(filters: Filters, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     for i, j, data, offsets in T.slices(_folded(texts)):
         hits, total = np.zeros((j - i, size)), np.zeros(j - i)
         for h, first in grams(data, offsets):
-            total += np.diff(first)
-            for w in range(filters.masks.shape[1]):
-                own = filters.look_up(h, w)
+            masks = [filters.look_up(h, w) for w in range(filters.masks.shape[1])]
+            vote = 1 / np.maximum(sum(np.bitwise_count(m).astype(np.int32) for m in masks), 1)
+            total += T.total_by(vote, first)
+            for w, own in enumerate(masks):
                 own = own.astype(np.uint8) if size <= 8 else own
                 for b in range(min(64, size - 64 * w)):
-                    hits[:, 64 * w + b] += T.total_by((own >> own.dtype.type(b)) & own.dtype.type(1), first)
+                    hits[:, 64 * w + b] += T.total_by(np.where((own >> own.dtype.type(b)) & own.dtype.type(1), vote, 0.0), first)
         right = np.maximum(0, (hits - filters.rate * total[:, None]) / (1 - filters.rate)) if size else hits
         for r in range(j - i):
             if not size or not has_letter(texts[i + r].as_py()):
@@ -140,7 +137,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, hold_out: tuple[int, int] = (
     for lang in sorted(there):
         share = F.when(F.col("lang") == lang, min(1.0, fit_rows / there[lang])).otherwise(share)
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    return build(sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long"))
+    return build(sample.select("lang", "text").mapInArrow(_grams_of, "lang string, gram long"))
 
 
 def language_id(docs: DataFrame, fit_rows: int = FIT_ROWS, hold_out: tuple[int, int] = (4, 2)) -> DataFrame:

@@ -5,7 +5,8 @@ labelled rows by information gain, prunes it on the rest, keeps it while it is p
 away and goes on. ``verdict`` writes the list as one ordered Spark ``CASE``; rows no rule covers are kept.
 
 Defined results: a null or empty text counts zero everywhere; a null label or label without document is not learned from;
-with no labelled rows of both classes the list is empty; repeated rows are measured each; of other columns none is read,
+of labels of one id that disagree the worse counts, and
+equal rows of one id are learned from once; with no labelled rows of both classes the list is empty; repeated rows are measured each; of other columns none is read,
 so their names may clash.
 """
 
@@ -83,8 +84,6 @@ def _ratio(top: str, below: str) -> Column:
     return F.col(top) / F.greatest(F.col(below), F.lit(1))
 
 
-
-
 def measures() -> dict[str, Column]:
     return {
         "n_words": F.col("n_words").cast("double"),
@@ -195,8 +194,9 @@ def fit(statistics: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> l
         return []
     spin = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     share = F.when(F.col("quality") == 0, min(1.0, fit_rows / there[0])).otherwise(min(1.0, fit_rows / there[1]))
-    sample = marked.where(spin < share * 1_000_000).dropDuplicates(["doc_id"]).join(statistics, "doc_id")
-    rows = sample.select("doc_id", "quality", *(v.alias(k) for k, v in measures().items())).toPandas().sort_values("doc_id")
+    # of labels that disagree, the worse one counts
+    sample = marked.where(spin < share * 1_000_000).groupBy("doc_id").agg(F.min("quality").alias("quality")).join(statistics.dropDuplicates(["doc_id", *COUNTS, *MORE]), "doc_id")
+    rows = sample.select("doc_id", "quality", *(v.alias(k) for k, v in measures().items())).toPandas().sort_values(["doc_id", *measures()])
     order = np.argsort(T.mix(rows["doc_id"].to_numpy().astype(np.uint64)), kind="stable")
     rows = rows.iloc[order]
     return learn_rules({k: rows[k].to_numpy(float) for k in measures()}, rows["quality"].to_numpy() == 0)
