@@ -342,6 +342,13 @@ def _texts(r, trials):
         yield "".join(r.choice(["a", "the", "  ", " ", "of", "é", "漢", "▁", "zq", "\U0010fffd", "\n", "==="]) for _ in range(120)) if trial % 3 else "".join(r.choice("abcdething=") for _ in range(200))
 
 
+def test_codec_words_of_the_library_are_the_best_paths(spark):
+    c = piece_codec.Codec(piece_codec.read_model())
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    words = sorted({piece_codec.MARK + w for t in texts for w in t.split(" ") if len(w) < piece_codec.LONG_WORD})
+    assert len(words) > 20_000 and all(c.path(w) == ids for w, ids in zip(words, c.sp.encode(words)))
+
+
 def test_codec_words_are_the_whole_text():
     c = piece_codec.Codec(piece_codec.read_model())
     for x in [*_texts(random.Random(5), 30), " a  b ", "\n", "a \n b\n", " ", "\n\nx"]:

@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding under the max-plus semiring.
 
-An encoding is the sequence of pieces of the largest total weight, which is the sum of their scores with a far smaller cost for each
-piece; weights are whole numbers, and of equal paths the one is taken that, from the end, has the longest piece each time. No piece
-spans the place before a space that follows a character, nor a line break, so these places cut a text into words that are
-encoded on their own and looked up when they come again.
+An encoding is the sequence of pieces of the largest total score; scores are whole numbers, and of equal paths the one is taken that,
+from the end, has the longest piece each time. No piece spans the place before a space that follows a character, nor a line break, so
+these places cut a text into words that are encoded on their own, by the library, whose rule is the same, as long as its sums in
+single precision are exact, and looked up when they come again.
 
 A text over ``giant`` characters is cut into chunks at fixed distances, in whatever words they fall; a boundary's state is how many
 characters the piece across it reaches into the next chunk. (1) A chunk yields the matrix of best weights from each state at its
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -47,27 +48,42 @@ OUT = "\U0010fffe"
 NONE = -(1 << 62)
 #: Pieces with so low a score have no rank of their own; they come after all others.
 UNRANKED = -1e8
-#: A score's share of a weight; what is left is the cost of a piece.
-SCALE = 1 << 20
-#: Words whose ids a worker keeps, and characters of the longest that it does.
+#: Words whose ids a worker keeps, and characters of the longest that it does, and that the library's sums are exact for.
 KEPT, LONG_WORD = 300_000, 100
 #: Bytes that are decoded at once.
 SLICE = 1 << 20
 
 
+def unigram_model(model: bytes) -> bytes:
+    """The same pieces and scores, as a model whose encoding is the best path, with normalisation off."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto.FromString(model)
+    m.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    plain = pb.ModelProto.SentencePiece.NORMAL
+    lowest = min(p.score for p in m.pieces if p.type == plain and p.score > UNRANKED)
+    for p in m.pieces:
+        if p.type == plain and p.score <= UNRANKED:
+            p.score = lowest - 1
+    m.normalizer_spec.name = "identity"
+    m.normalizer_spec.precompiled_charsmap = b""
+    m.normalizer_spec.add_dummy_prefix = False
+    m.normalizer_spec.remove_extra_whitespaces = False
+    m.normalizer_spec.escape_whitespaces = False
+    return m.SerializeToString()
+
+
 class Codec:
     def __init__(self, model: bytes) -> None:
         from sentencepiece import SentencePieceProcessor
 
-        sp = SentencePieceProcessor(model_proto=model)
+        self.sp = sp = SentencePieceProcessor(model_proto=unigram_model(model))
         size = sp.get_piece_size()
         self.byte_id = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(size) if sp.is_byte(i)}
         plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
-        lowest = min(sp.get_score(i) for i in plain if sp.get_score(i) > UNRANKED)
-        scores = {i: sp.get_score(i) if sp.get_score(i) > UNRANKED else lowest - 1 for i in plain}
-        self.weight = {sp.id_to_piece(i): round(s * SCALE) - 1 for i, s in scores.items()}
+        self.weight = {sp.id_to_piece(i): round(sp.get_score(i)) for i in plain}
         self.id = {sp.id_to_piece(i): i for i in plain}
-        self.unknown = round((min(scores.values()) - 10) * SCALE) - 1
+        self.unknown = min(self.weight.values()) - 10  # as the library has it
         self.longest = max(map(len, self.weight))
         if any(re.search(f"[^{MARK}]{MARK}", p) or len(p) > 1 and "\n" in p for p in self.weight):
             raise ValueError("a piece spans words")
@@ -102,13 +118,15 @@ class Codec:
         except KeyError:
             if len(known) > KEPT:
                 known.clear()
-            mine = {}
-            for w in set(words):
-                if w not in known:
-                    mine[w] = np.array(self.path(MARK + w if mark and w[:1] != "\n" else w), "<i4").tobytes()
-                    if len(w) <= LONG_WORD:
-                        known[w] = mine[w]
-            return b"".join([mine[w] if w in mine else known[w] for w in words])
+            new = [w for w in set(words) if w not in known]
+            spelt = [MARK + w if mark and w[:1] != "\n" else w for w in new]
+            usual = [k for k, w in enumerate(spelt) if len(w) <= LONG_WORD]
+            for k, ids in zip(usual, self.sp.encode([spelt[k] for k in usual], num_threads=1), strict=True):
+                known[new[k]] = array("i", ids).tobytes()
+            if len(usual) == len(new):
+                return b"".join(map(known.__getitem__, words))
+            long = {w: array("i", self.path(s)).tobytes() for w, s in zip(new, spelt, strict=True) if len(s) > LONG_WORD}
+            return b"".join([long[w] if w in long else known[w] for w in words])
 
     def path(self, s: str) -> list[int]:
         _, back = self.lattice(s, len(s), [0])
