@@ -474,7 +474,7 @@ def lm_score(docs: DataFrame, hold_out: tuple[int, int] = (10, 0), classes: int
     words = cut(classed(train, words, core, cls, bigrams, parts))
     model = Model(Words(*frequent(words, max(1, n_train / listed_share))), int(cls.max()))
     gain = transition_logs(history_counts(train, words, model, parts), class_weights(words, texts, model.classes))
-    scored = cut(_scored(every, words, model, gain, texts, parts))
+    scored = _scored(every, words, model, gain, texts, parts)
     base = F.col("log") - F.col("n_tokens") * log10(n_train + SMOOTH * (distinct + 1))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("log") + F.col("gain")).alias("score"))
 

@@ -13,7 +13,7 @@ the next, the ends as far as they agree. Aligned chains of one document that tou
 some chain matches, without those between chains, make the share of the whole.
 
 Defined results: a null text, or one below k words, has no seeds; a passage must have ``least`` words or more, of which 3 in 4
-agree, and so must each aligned part; a repeat within one document is none (each copy of what another document owns is one);
+agree, and so must each aligned part (a chain that does not is split where it does); a repeat within one document is none (each copy of what another document owns is one);
 which of several owners a passage
 is aligned with follows from how the input is split into tasks; rows equal in id and text are one document, rows that share an id but not the text are documents of their own, and so are
 rows with a null id (the result names them by null); other columns are not read; columns named weft_key and weft_spans are reserved.
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm import textops as T
-from weft.llm.common import cut, parts_for
+from weft.llm.common import cut, held, parts_for, release
 
-K, WINDOW = 6, 10
+K, WINDOW = 4, 5
 #: Stands for a null id: after all others.
 LAST = (1 << 63) - 1
 #: Words of a passage at least; share of aligned words that agree; words between chains that still touch.
@@ -395,6 +395,27 @@ def align(x: np.ndarray, y: np.ndarray, runs: np.ndarray) -> tuple[int, int, int
     return start, at, start + int(diagonal[0]), at + d, np.concatenate(same)
 
 
+def agreeing(runs: np.ndarray, start: int, end: int, other: int, other_end: int, same: np.ndarray, agree: float) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """The alignment, if its words agree enough; or else its longest stretches, from one run's start to another's end, that do."""
+    if end <= start:
+        return
+    if same.sum() >= agree * (end - start):
+        yield start, end, other, other_end, same
+        return
+    first, last = runs[:, 0].clip(start, end) - start, runs[:, 1].clip(start, end) - start
+    first[0], last[-1] = 0, end - start
+    inside = last > first
+    first, last, diagonal = first[inside], last[inside], (runs[:, 2] - runs[:, 0])[inside]
+    gain = np.round(np.concatenate([[0], np.cumsum(same)]) - agree * np.arange(len(same) + 1), 6)
+    for a, b in sorted({w for w in widest(first, last, gain, K) if w}):
+        of = np.flatnonzero((first >= a) & (last <= b))
+        while a and same[a - 1]:
+            a -= 1
+        while b < len(same) and same[b]:
+            b += 1
+        yield start + a, start + b, start + a + int(diagonal[of[0]]), start + b + int(diagonal[of[-1]]), same[a:b]
+
+
 def with_keys(docs: DataFrame) -> DataFrame:
     """The rows of docs, and weft_key: the document's key."""
     return docs.withColumn("weft_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
@@ -408,7 +429,7 @@ def _spans(docs: DataFrame, least: int, agree: float) -> DataFrame:
     """One row for each passage: the document's key, start and end, how many aligned parts it has, and the part of most words."""
     texts = with_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")).select(F.col("weft_key").alias("doc"), F.col("doc_id").alias("number"), "text")
     found = seeds(texts, parts_for(docs, PART_BYTES)).groupBy("part").applyInArrow(_matches, "doc long, word int, other long, other_word int")
-    chains = cut(found.repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains, CHAIN_SCHEMA))
+    chains = held(found.repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains, CHAIN_SCHEMA))
     wanted = chains.select("doc", "a", "z").union(chains.select("other", "other_a", "other_z")).distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("ranges"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,15 +448,14 @@ def _spans(docs: DataFrame, least: int, agree: float) -> DataFrame:
             rows = []
             for doc, other, a, o, runs, x, y in zip(*(batch.column(c).to_pylist() for c in ("doc", "other", "a", "other_a", "runs", "words", "other_words")), strict=True):
                 at = np.frombuffer(runs, np.int64).reshape(-1, 3) - np.array([a, a, o])
-                s, e, os, oe, same = align(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), at)
-                if e > s and same.sum() >= agree * (e - s):
+                for s, e, os, oe, same in agreeing(at, *align(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), at), agree):
                     rows.append((doc, other, s + a, e + a, os + o, oe + o, int(same.sum()), np.packbits(same).tobytes()))
             if rows:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], names=[*PARTS, "same"])
 
     once = texts.join(wanted, "doc").dropDuplicates(["doc"])
-    words = cut(once.select("doc", "text", "ranges").mapInArrow(extract, "doc long, a long, z long, words binary"))
+    words = held(once.select("doc", "text", "ranges").mapInArrow(extract, "doc long, a long, z long, words binary"))
     own = words.hint("merge")
     others = words.select(F.col("doc").alias("other"), F.col("a").alias("other_a"), F.col("z").alias("other_z"), F.col("words").alias("other_words")).hint("merge")
     aligned = chains.join(own, ["doc", "a", "z"]).join(others, ["other", "other_a", "other_z"]).select("doc", "other", "a", "other_a", "runs", "words", "other_words").mapInArrow(run, ", ".join(f"{c} long" for c in PARTS) + ", same binary")
@@ -458,7 +478,9 @@ def _spans(docs: DataFrame, least: int, agree: float) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=SPANS)
 
-    return aligned.repartition("doc").sortWithinPartitions("doc", "part_start", "other").mapInArrow(unite, ", ".join(f"{c} long" for c in SPANS))
+    out = cut(aligned.repartition("doc").sortWithinPartitions("doc", "part_start", "other").mapInArrow(unite, ", ".join(f"{c} long" for c in SPANS)))
+    release(chains, words)
+    return out
 
 
 RESULT = ["doc_id", "start_word", "end_word", "n_parts", "other_doc_id", *PARTS[2:]]
@@ -467,7 +489,7 @@ RESULT = ["doc_id", "start_word", "end_word", "n_parts", "other_doc_id", *PARTS[
 def passages(docs: DataFrame, least: int = LEAST, agree: float = AGREE) -> DataFrame:
     """A row for each passage: doc_id, start_word and end_word, n_parts (aligned with owners), and of the part of most agreeing
     words: other_doc_id, part_start, part_end, other_start, other_end, n_agree. Words count from 0, ends are exclusive."""
-    names = cut(with_keys(docs.select("doc_id", "text").where("text is not null")).select("weft_key", F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    names = with_keys(docs.select("doc_id", "text").where("text is not null")).select("weft_key", F.col("doc_id").cast("long").alias("doc_id")).distinct()
     spans = _spans(docs, least, agree).join(names.select(F.col("weft_key").alias("doc"), "doc_id"), "doc")
     return spans.join(names.select(F.col("weft_key").alias("other"), F.col("doc_id").alias("other_doc_id")), "other").select(RESULT)
 
