@@ -50,11 +50,26 @@ def test_graph(spark, tmp_path):
     reach = G.closure(edges)
     assert G.propagation_cost(reach, nodes).first().pairs == 6
     assert {r.node: r.component for r in G.scc(reach, nodes).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d"}
+    assert {r.node: r.component for r in G.strong_components(edges, nodes).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d"}
+
+
+def test_strong_components_are_those_of_the_closure(spark, tmp_path):
+    import random
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    r = random.Random(3)
+    edges = spark.createDataFrame([(r.randrange(40), r.randrange(40)) for _ in range(60)], "src int, dst int").where("src <> dst").distinct()
+    nodes = spark.createDataFrame([(k,) for k in range(45)], "node int")
+    assert sorted(G.strong_components(edges, nodes).collect()) == sorted(G.scc(G.closure(edges), nodes).collect())
 
 
 def test_cut_search_breaks_a_ring():
     edges = [{"src": a, "dst": b, "weight": w, "type_only": False} for a, b, w in (("a", "b", 5), ("b", "c", 2), ("c", "a", 9))]
-    assert G.cut_search(["a", "b", "c"], edges) == [edges[1] | {"residual": 1}]
+    assert G.cut_search(["a", "b", "c"], edges) == {"cut": edges[1], "residual": 1, "rejected": None}
+    assert G.cut_search(["a", "b", "c"], edges, {("a", "b")}) == {"cut": None, "residual": 1, "rejected": None}
+    assert G.cut_search(["a", "b", "c"], edges, crossing=False)["cut"] is None and G.cut_search([], []) == {"cut": None, "residual": 0, "rejected": None}
+    mesh = [{"src": a, "dst": b, "weight": 1, "type_only": False} for a in "abcd" for b in "abcd" if a != b] + [{"src": "d", "dst": "e", "weight": 1, "type_only": False}, {"src": "e", "dst": "a", "weight": 1, "type_only": False}]
+    assert G.cut_search(list("abcde"), mesh) == {"cut": None, "residual": 5, "rejected": 4}
     assert G.largest_component(["a", "b", "c"], [("a", "b"), ("b", "c"), ("c", "a")]) == 3
 
 
@@ -85,3 +100,59 @@ def test_incremental_cache_is_the_full_run(spark, tmp_path):
     refresh(spark, str(tmp_path), "cfg", one, derive)
     got = refresh(spark, str(tmp_path), "cfg", two, derive)
     assert sorted(got.collect()) == sorted(derive(two).collect())
+
+
+def test_a_batch_leaves_the_rows_of_other_paths(spark, tmp_path):
+    from weft.streaming.incremental import Cache, clear, follow
+
+    def derive(files):
+        return files.select("path", "content_hash", F.length("text").alias("n"))
+
+    source, cache = tmp_path / "in", str(tmp_path / "cache")
+    source.mkdir()
+    for k, rows in enumerate(([("a", "one"), ("b", "two")], [("c", "three")], [("a", "changed"), ("b", "two")])):
+        spark.createDataFrame(rows, "path string, text string").coalesce(1).write.mode("append").json(str(source))
+        follow(spark, spark.readStream.schema("path string, text string").json(str(source)), cache, "cfg", derive, str(tmp_path / "state")).awaitTermination()
+        got = {r.path: r.n for r in Cache(spark, cache, "cfg").read().collect()}
+        assert got == [{"a": 3, "b": 3}, {"a": 3, "b": 3, "c": 5}, {"a": 7, "b": 3, "c": 5}][k]
+    assert clear(spark, cache) and Cache(spark, cache, "cfg").read() is None and not clear(spark, cache)
+
+
+def test_a_cache_that_cannot_be_read_counts_as_absent(spark, tmp_path):
+    from weft.streaming.incremental import Cache
+
+    files = spark.createDataFrame([("a", "h1"), ("b", "h2")], "path string, content_hash string")
+    cache = Cache(spark, str(tmp_path), "cfg")
+    cache.refresh(files, lambda f: f)
+    for part in (tmp_path / "schema-1" / "cfg" / "v0").glob("*.parquet"):
+        part.write_bytes(b"broken")
+    for part in (tmp_path / "schema-1" / "cfg" / "v0").glob(".*.crc"):
+        part.unlink()
+    assert cache.read() is None and cache.versions() == []
+    assert sorted(cache.refresh(files, lambda f: f).collect()) == sorted(files.collect())
+
+
+def test_owners_and_forwarding(spark):
+    from weft.operators import imports as I
+    from weft.sources import project as P
+
+    paths = spark.createDataFrame([("a/b/x.ts",), ("a/y.ts",), ("z.ts",), ("q/w/v.ts",)], "path string")
+    got = {r.path: r.owner for r in P.owners(paths, spark.createDataFrame([("a/b",), ("",)], "folder string")).collect()}
+    assert got == {"a/b/x.ts": "a/b", "a/y.ts": ".", "z.ts": ".", "q/w/v.ts": "."}
+    got = {r.path: r.owner for r in P.owners(paths, spark.createDataFrame([("a/b",)], "folder string")).collect()}
+    assert got == {"a/b/x.ts": "a/b", "a/y.ts": "a", "z.ts": ".", "q/w/v.ts": "q"}
+    bindings = spark.createDataFrame([("a/x.ts", s) for s in ("./y", "../b/I.js", "./dir", "pkg", "../../up", "./gone")], "path string, specifier string")
+    files = spark.createDataFrame([("a/y.tsx",), ("b/i.ts",), ("a/dir/index.ts",), ("up.ts",)], "path string")
+    assert {r.specifier: r.target for r in I.resolve(bindings, files).collect()} == {"./y": "a/y.tsx", "../b/I.js": "b/i.ts", "./dir": "a/dir/index.ts", "../../up": "up.ts"}
+
+
+def test_similar_pairs_are_all_pairs(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(f"{k}", [r.choice("abc") for _ in range(r.randint(4, 12))]) for k in range(80)]
+    grams = {i: {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+    expected = {(a, b) for a in grams for b in grams if a < b and grams[a] and grams[b] and len(grams[a] & grams[b]) >= 0.7 * len(grams[a] | grams[b])}
+    streams = spark.createDataFrame(rows, "id string, words array<string>")
+    assert {(x.u, x.v) for x in K.similar_pairs(streams).collect()} == expected
+    assert {(x.u, x.v) for x in K.lsh_pairs(streams).collect()} <= expected

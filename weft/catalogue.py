@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft import fixtures
 from weft.functions import text as X
+from weft.functions.globs import matches_any
 from weft.operators import clusters as C
 from weft.operators import context as K
 from weft.operators import graph as G
+from weft.operators import imports as I
+from weft.operators import shapes as H
+from weft.operators import variation as V
+from weft.plans import sidecar
+from weft.plans.options import Options
+from weft.plans.report import checkpoint_folder, report
+from weft.sources import project as P
 from weft.sources.html import html_fragments
 from weft.sources.tables import line_fragments, shaped, table
+from weft.streaming.incremental import split_by_cache
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,12 +124,28 @@ def duplicated_mass(spark, d):
     return C.groups(_fragments(spark, d)).agg(F.count("*").alias("clusters"), F.sum("mass").alias("duplicated_mass"))
 
 
-@query(f"""WITH {FRAGMENTS},
-extra AS (SELECT DISTINCT doc_id, source, start_at, end_at FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id, start_at, end_at, seq) AS rn FROM o0) WHERE rn > 1),
-swept AS (SELECT *, greatest(0, end_at - greatest(start_at, coalesce(max(end_at) OVER (PARTITION BY doc_id ORDER BY start_at, end_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start_at))) AS new FROM extra)
-SELECT doc_id, sum(new)::BIGINT AS covered FROM swept GROUP BY 1""")
+BOTH = """both_ AS (SELECT cluster_id, doc_id, source, start_at, end_at, seq FROM o0 UNION ALL SELECT cluster_id, doc_id, source, start_at, end_at, seq FROM frags JOIN k1 ON l1 = cluster_id WHERE literal_share < 0.35),
+extra AS (SELECT DISTINCT doc_id, source, start_at, end_at FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id, start_at, end_at, seq) AS rn FROM both_) WHERE rn > 1),
+swept AS (SELECT *, greatest(0, end_at - greatest(start_at, coalesce(max(end_at) OVER (PARTITION BY doc_id ORDER BY start_at, end_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start_at))) AS new FROM extra)"""
+
+
+def _both_levels(spark: SparkSession, d: str) -> DataFrame:
+    fragments = _fragments(spark, d)
+    names = ["cluster_id", "doc_id", "source", "start_at", "end_at", "seq"]
+    l1 = C.occurrences(fragments.where(F.col("literal_share") < C.LITERAL_LIMIT), C.groups(fragments, "L1"), "L1")
+    return _copies(spark, d).select(names).union(l1.select(names))
+
+
+@query(f"WITH {FRAGMENTS}, {BOTH} SELECT doc_id, sum(new)::BIGINT AS covered FROM swept GROUP BY 1")
 def redundant_coverage(spark, d):
-    return C.covered(C.redundant(_copies(spark, d)))
+    return C.covered(C.redundant(_both_levels(spark, d)))
+
+
+@query(f"WITH {FRAGMENTS}, {BOTH} SELECT round(CASE WHEN total > 0 THEN least(1, covered / total) ELSE 0 END, 6)::DOUBLE AS fraction FROM (SELECT coalesce(sum(new), 0) AS covered FROM swept), (SELECT coalesce(sum(length(text)), 0) AS total FROM documents)")
+def redundant_fraction(spark, d):
+    covered = C.covered(C.redundant(_both_levels(spark, d))).agg(F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"))
+    total = table(spark, d, "documents").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("total"))
+    return covered.crossJoin(total).select(F.round(F.least(F.lit(1.0), F.coalesce(F.try_divide("covered", "total"), F.lit(0.0))), 6).alias("fraction"))
 
 
 @query(f"WITH {FRAGMENTS} SELECT cluster_id, copies, mass FROM k0 ORDER BY mass DESC, cluster_id LIMIT 40")
@@ -177,7 +203,7 @@ held AS (SELECT outer_id, cluster_id, min(n) AS n, count(*) AS contained FROM ou
 SELECT cluster_id, copies, mass FROM k0 WHERE NOT EXISTS (FROM held h WHERE h.cluster_id = k0.cluster_id AND h.contained >= 0.8 * k0.copies AND (h.n > k0.node_count OR (h.n = k0.node_count AND h.outer_id < k0.cluster_id)))
 UNION SELECT md5(text), count(*), min(len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> ''))) * (count(*) - 1) FROM documents WHERE length(text) > 0 AND md5(text) NOT IN (SELECT cluster_id FROM k0) GROUP BY 1 HAVING count(*) > 1""")
 def subsume(spark, d):
-    _checkpoint_folder(spark)
+    checkpoint_folder(spark)
     whole = _documents_as_fragments(spark, d)
     outer = C.groups(whole)
     inner = C.groups(_fragments(spark, d))
@@ -186,28 +212,67 @@ def subsume(spark, d):
     return C.subsume(pairs, every).select("cluster_id", "copies", "mass")
 
 
-@query(f"""WITH {FRAGMENTS}, emitted AS (SELECT cluster_id AS id FROM k0 ORDER BY mass DESC, cluster_id LIMIT 200),
-firsts AS (SELECT cluster_id AS id, doc_id, start_at, end_at, words FROM o0 WHERE cluster_id IN (SELECT id FROM emitted) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id, start_at, seq) = 1),
-grams AS (SELECT DISTINCT id, doc_id, start_at, end_at, array_to_string(words[g:g+4], ' ') AS gram FROM (SELECT *, unnest(range(1, len(words) - 3)) AS g FROM firsts)),
+VARIANTS = """grams AS (SELECT DISTINCT id, doc_id, start_at, end_at, array_to_string(words[g:g+4], ' ') AS gram FROM (SELECT *, unnest(range(1, len(words) - 3)) AS g FROM firsts)),
 size AS (SELECT id, count(*) AS n FROM grams GROUP BY 1),
 shared AS (SELECT a.id, b.id AS variant, count(*) AS k FROM grams a JOIN grams b USING (gram) WHERE a.id <> b.id AND NOT (a.doc_id = b.doc_id AND a.start_at < b.end_at AND b.start_at < a.end_at) GROUP BY 1, 2),
 sim AS (SELECT shared.id, variant, round(k / (s.n + t.n - k), 6) AS similarity FROM shared JOIN size s ON s.id = shared.id JOIN size t ON t.id = variant)
-SELECT id, variant, similarity, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, variant)::INT AS place FROM sim WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, variant) <= 3""")
-def near_variants(spark, d):
-    return K.near_variants(_emitted(spark, d, 200))
+SELECT id, variant, similarity, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, variant)::INT AS place FROM sim WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, variant) <= 3"""
 
 
-def _emitted(spark: SparkSession, d: str, k: int) -> DataFrame:
-    """First copies of the k heaviest clusters, with their words."""
+@query(f"""WITH {FRAGMENTS}, firsts AS (SELECT cluster_id AS id, doc_id, start_at, end_at, words FROM o0 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY doc_id, start_at, seq) = 1), {VARIANTS}""")
+def near_variants(spark, d):
+    """Of all clusters' first copies."""
     lines = line_fragments(table(spark, d, "documents")).withColumn("l0", X.stream_hash(F.col("words")))
-    some = C.top(C.groups(shaped(lines.drop("l0"))), k).select("cluster_id")
-    rows = lines.join(some, lines.l0 == some.cluster_id).groupBy(F.col("cluster_id").alias("id")).agg(F.min(F.struct("doc_id", "start_at", "seq", "end_at", "words")).alias("x"))
-    return rows.select("id", "x.doc_id", "x.start_at", "x.end_at", "x.words")
+    every = C.groups(shaped(lines.drop("l0"))).select("cluster_id")
+    rows = lines.join(every, lines.l0 == every.cluster_id).groupBy(F.col("cluster_id").alias("id")).agg(F.min(F.struct("doc_id", "start_at", "seq", "end_at", "words")).alias("x"))
+    return K.near_variants(rows.select("id", "x.doc_id", "x.start_at", "x.end_at", "x.words"))
+
+
+@query(f"WITH firsts AS (SELECT * REPLACE (string_split(words, ' ') AS words) FROM {fixtures.values(fixtures.STREAMS, 'id, doc_id, start_at, end_at, words')}), {VARIANTS}")
+def near_variants_of_a_few(spark, d):
+    rows = fixtures.frame(spark, fixtures.STREAMS, "id string, doc_id long, start_at long, end_at long, words string")
+    return K.near_variants(rows.withColumn("words", F.split("words", " ")))
+
+
+def _shape_lines(spark: SparkSession, d: str) -> DataFrame:
+    return line_fragments(table(spark, d, "documents")).select("doc_id", "start_at", "end_at", "seq", "words")
+
+
+ERASED = "list_transform(words, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN 'Num' ELSE 'Id' END)"
+SHAPES = f"""shapes AS (SELECT md5(array_to_string({ERASED}, ' ')) AS id, count(*) AS copies, min(ROW(doc_id, start_at, end_at, seq, words)) AS x FROM floored GROUP BY 1)"""
+
+
+@query(f"WITH {FRAGMENTS}, {SHAPES} SELECT id, copies FROM shapes WHERE copies > 1")
+def erased_shapes(spark, d):
+    """Groups of lines that are equal but for all names and all numbers."""
+    return H.representatives(_shape_lines(spark, d)).where("copies > 1").select("id", "copies")
+
+
+NEAR = """rep AS (SELECT l0 AS id, any_value(words) AS words FROM frags WHERE len(words) >= 5 GROUP BY 1), gram AS (SELECT DISTINCT id, array_to_string(words[g:g+4], ' ') AS g FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS g FROM rep)),
+weight AS (SELECT id, count(*) AS n FROM gram GROUP BY 1), both_ AS (SELECT a.id AS u, b.id AS v, count(*) AS k FROM gram a JOIN gram b USING (g) WHERE a.id < b.id GROUP BY 1, 2),
+near AS (SELECT u, v, round(k / (a.n + b.n - k), 6) AS similarity FROM both_ JOIN weight a ON a.id = u JOIN weight b ON b.id = v WHERE k / (a.n + b.n - k) >= 0.7)"""
+
+
+def _distinct_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = line_fragments(table(spark, d, "documents"), 5)
+    return lines.groupBy(X.stream_hash(F.col("words")).alias("id")).agg(F.min("words").alias("words"))
 
 
 @query()
 def minhash_lsh_pairs(spark, d):
-    return K.lsh_pairs(_emitted(spark, d, 1000))
+    """Near pairs of all distinct lines, from MinHash bands; ``near_line_pairs`` has all of them."""
+    return K.lsh_pairs(_distinct_lines(spark, d))
+
+
+@query(f"WITH {FRAGMENTS}, {NEAR} SELECT * FROM near")
+def near_line_pairs(spark, d):
+    return K.similar_pairs(_distinct_lines(spark, d))
+
+
+@query(f"WITH RECURSIVE {FRAGMENTS}, {NEAR}, link AS (SELECT u, v FROM near UNION SELECT v, u FROM near), hop AS (SELECT u, v FROM link UNION SELECT h.u, l.v FROM hop h JOIN link l ON h.v = l.u) SELECT u AS node, least(u, min(v)) AS label FROM hop GROUP BY u")
+def connected_components(spark, d):
+    checkpoint_folder(spark)
+    return H.clusters_of(K.similar_pairs(_distinct_lines(spark, d)))
 
 
 L1_COPIES = """copies AS (SELECT cluster_id, doc_id, seq, words FROM frags JOIN k1 ON l1 = cluster_id WHERE literal_share < 0.35)"""
@@ -237,14 +302,6 @@ def field_drift(spark, d):
 # ---- graphs
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
-    """The shared folder that the session names; a local one only where none is named, as in tests."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
-
-
 def _bindings(spark: SparkSession, d: str) -> DataFrame:
     t = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer", "supplier", "nation")}
     buyer, seller = (t["nation"].select(F.col("n_nationkey").alias(f"{s}_nationkey"), F.col("n_name").alias(n)) for s, n in (("c", "src"), ("s", "dst")))
@@ -259,8 +316,6 @@ def _bindings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _heavy(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
     return G.module_edges(_bindings(spark, d)).withColumn("rank", rank).where("rank <= 2").select("src", "dst")
 
@@ -270,9 +325,9 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _components(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    _checkpoint_folder(spark)
+    checkpoint_folder(spark)
     edges = _heavy(spark, d).checkpoint()
-    return edges, G.scc(G.closure(edges), _nodes(spark, d))
+    return edges, G.strong_components(edges, _nodes(spark, d))
 
 
 @query(f"WITH {TRADE} SELECT * FROM edges")
@@ -290,20 +345,34 @@ def mode_origin(spark, d):
     return G.mode_origin(_bindings(spark, d))
 
 
-@query(f"WITH {TRADE} SELECT src, dst, count(*) AS weight, count(*) FILTER (erased) AS erased, bool_and(erased) AS type_only FROM bindings WHERE src <> dst AND target % 7 = 0 GROUP BY 1, 2 HAVING bool_and(erased)")
+CUSTOMER_TRADE = "SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, count(*) AS weight, count(*) FILTER (l_returnflag = 'R') AS erased, bool_and(l_returnflag = 'R') AS type_only FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"
+
+
+def _customer_edges(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    """From customers to suppliers: fine enough that some edges consist of returned lines."""
+    joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return G.module_edges(joined.select(F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"), (F.col("l_returnflag") == "R").alias("erased")), mode)
+
+
+@query(f"SELECT * FROM ({CUSTOMER_TRADE}) WHERE type_only")
 def type_only_edges(spark, d):
-    return G.module_edges(_bindings(spark, d).where("target % 7 = 0"), "only")
+    return _customer_edges(spark, d, "only")
+
+
+@query(f"SELECT * FROM ({CUSTOMER_TRADE}) WHERE NOT type_only")
+def runtime_edges(spark, d):
+    return _customer_edges(spark, d, "exclude")
 
 
 @query(f"WITH RECURSIVE {TRADE}{REACH} SELECT * FROM reach")
 def closure(spark, d):
-    _checkpoint_folder(spark)
+    checkpoint_folder(spark)
     return G.closure(_heavy(spark, d))
 
 
 @query(f"WITH RECURSIVE {TRADE}{REACH} SELECT (SELECT count(*) FROM nation) AS modules, (SELECT count(*) FROM reach) AS pairs, round((SELECT count(*) FROM reach) / ((SELECT count(*) FROM nation) * (SELECT count(*) FROM nation)), 6) AS cost")
 def propagation_cost(spark, d):
-    _checkpoint_folder(spark)
+    checkpoint_folder(spark)
     return G.propagation_cost(G.closure(_heavy(spark, d)), _nodes(spark, d))
 
 
@@ -322,16 +391,14 @@ def largest_scc(spark, d):
     return G.component_sizes(_components(spark, d)[1]).agg(F.coalesce(F.max("size"), F.lit(0)).alias("largest"))
 
 
-RUNTIME = TRADE.replace("QUALIFY", "WHERE erased * 4 < weight QUALIFY")
+RUNTIME = TRADE.replace("QUALIFY", "WHERE NOT type_only QUALIFY")
 
 
 @query(f"WITH RECURSIVE {RUNTIME}{REACH} SELECT * FROM comp")
 def runtime_scc(spark, d):
-    from pyspark.sql import Window
-
-    _checkpoint_folder(spark)
+    checkpoint_folder(spark)
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    kept = G.module_edges(_bindings(spark, d)).where("erased * 4 < weight").withColumn("rank", rank).where("rank <= 2").select("src", "dst").checkpoint()
+    kept = G.module_edges(_bindings(spark, d), "exclude").withColumn("rank", rank).where("rank <= 2").select("src", "dst").checkpoint()
     return G.scc(G.closure(kept), _nodes(spark, d))
 
 
@@ -343,27 +410,129 @@ def cycles_crossing_vs_within(spark, d):
     return made.groupBy(F.when(F.col("regions") > 1, "crossing").otherwise("within").alias("kind")).agg(F.count("*").alias("cycles"), F.max("n").alias("largest"))
 
 
-@query()
+EDGE_COLUMNS = "src, dst, weight, type_only, n_files"
+CUTS = f"""e AS (SELECT * FROM {fixtures.values(fixtures.EDGES, EDGE_COLUMNS)}), cut AS (SELECT src AS x, dst AS y FROM e UNION ALL SELECT '', ''),
+r AS (SELECT x, y, src, dst FROM cut, e WHERE NOT (src = x AND dst = y) UNION SELECT r.x, r.y, r.src, e.dst FROM r JOIN e ON r.dst = e.src WHERE NOT (e.src = r.x AND e.dst = r.y)),
+same AS (SELECT a.x, a.y, a.src, count(DISTINCT a.dst) AS n FROM r a JOIN r b ON a.x = b.x AND a.y = b.y AND a.src = b.dst AND a.dst = b.src GROUP BY 1, 2, 3), left_ AS (SELECT cut.x, cut.y, coalesce(max(n), 1) AS residual FROM cut LEFT JOIN same USING (x, y) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {CUTS} SELECT e.src, e.dst, e.weight, l.residual::INT AS residual FROM left_ l JOIN e ON e.src = l.x AND e.dst = l.y, (SELECT residual AS start_ FROM left_ WHERE x = '') WHERE l.residual < start_ AND (l.residual <= 1 OR 3 * l.residual <= 2 * start_)
+ORDER BY l.residual, e.type_only, e.n_files, e.weight, e.src, e.dst LIMIT 1""")
 def cut_search(spark, d):
-    """Cuts of the tangles of the report's module graph, which has at most 64 modules by construction."""
-    edges, components = _components(spark, d)
-    weights = G.module_edges(_bindings(spark, d)).join(edges, ["src", "dst"], "left_semi")
-    rows: dict[str, list[dict]] = {}
-    for r in G.inner_edges(weights, components).collect():
-        rows.setdefault(r["component"], []).append(r.asDict())
-    found = [x for c in sorted(rows) for x in G.cut_search(sorted({e[s] for e in rows[c] for s in ("src", "dst")}), rows[c])]
-    return spark.createDataFrame([(x["component"], x["src"], x["dst"], x["weight"], x["residual"]) for x in found], "component string, src string, dst string, weight long, residual int")
+    """The cut of a small tangle, against all cuts of one edge by recursion."""
+    edges = [dict(zip(EDGE_COLUMNS.split(", "), e, strict=True)) for e in fixtures.EDGES]
+    found = G.cut_search(sorted({e[s] for e in edges for s in ("src", "dst")}), edges)
+    return spark.createDataFrame([(found["cut"]["src"], found["cut"]["dst"], found["cut"]["weight"], found["residual"])], "src string, dst string, weight int, residual int")
+
+
+# ---- imports: lines of an order import the next one's part and supplier; files are parts with suppliers, modules are parts
+
+NEXT_LINES = """b AS (SELECT a.l_partkey || '/' || a.l_suppkey AS path, n.l_partkey || '/' || n.l_suppkey AS target, CASE WHEN a.l_quantity::INT % 11 = 0 THEN '*' ELSE 'n' || (a.l_quantity::INT % 5) END AS name,
+CASE WHEN a.l_quantity::INT % 11 = 0 THEN '*' ELSE 'n' || (n.l_quantity::INT % 5) END AS local, a.l_linestatus = 'F' AS erased, a.l_quantity::INT % 7 > 0 AS binds, a.l_returnflag = 'R' AS reexport
+FROM lineitem a JOIN lineitem n ON n.l_orderkey = a.l_orderkey AND n.l_linenumber = a.l_linenumber + 1)"""
+ORIGINS = """named AS (SELECT path AS target, local AS name, min(target) AS of_name FROM b WHERE reexport AND name <> '*' AND local <> '*' GROUP BY 1, 2),
+stars AS (SELECT path AS target, min(target) AS of_star FROM b WHERE reexport AND name = '*' AND local = '*' GROUP BY 1 HAVING count(DISTINCT target) = 1),
+o AS (SELECT b.*, CASE WHEN name <> '*' THEN coalesce(of_name, of_star) END AS origin FROM b LEFT JOIN named USING (target, name) LEFT JOIN stars USING (target)),
+votes AS (SELECT path, target, arg_min(origin, (-n, origin)) AS origin FROM (SELECT path, target, origin, count(*) AS n FROM o WHERE origin IS NOT NULL AND path <> target GROUP BY 1, 2, 3) GROUP BY 1, 2),
+detail AS (SELECT path, target, symbols, erased, symbols > 0 AND erased = symbols AS erasable, pass_through, origin FROM (SELECT path, target, count(*) FILTER (binds) AS symbols, count(*) FILTER (binds AND erased) AS erased,
+count(*) FILTER (binds AND origin IS NOT NULL) AS pass_through FROM o WHERE path <> target GROUP BY 1, 2) LEFT JOIN votes USING (path, target))"""
+EDGES_OF = """rows_ AS (SELECT d.*, string_split(path, '/')[1] AS src, string_split(target, '/')[1] AS dst FROM detail d WHERE string_split(path, '/')[1] <> string_split(target, '/')[1]),
+tops AS (SELECT src, dst, arg_min(target, (-w, target)) AS top_target, max(w)::BIGINT AS top_weight FROM (SELECT src, dst, target, sum(greatest(symbols, 1)) AS w FROM rows_ GROUP BY 1, 2, 3) GROUP BY 1, 2),
+modes AS (SELECT src, dst, arg_min(origin, (-n, origin)) AS origin FROM (SELECT src, dst, origin, count(*) AS n FROM rows_ WHERE origin IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+graph AS (SELECT src, dst, weight, erased, n_files, files, top_target, top_weight, pass_through, origin, type_only FROM (SELECT src, dst, sum(symbols)::BIGINT AS weight, sum(erased)::BIGINT AS erased, count(DISTINCT path)::INT AS n_files,
+string_agg(DISTINCT path, ',' ORDER BY path) AS files, sum(pass_through)::BIGINT AS pass_through, bool_and(erasable) AS type_only FROM rows_ GROUP BY 1, 2) JOIN tops USING (src, dst) LEFT JOIN modes USING (src, dst))"""
+
+
+def _next_lines(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("/", "l_partkey", "l_suppkey").alias("path"), F.col("l_quantity").cast("int").alias("q"), (F.col("l_linestatus") == "F").alias("erased"), (F.col("l_returnflag") == "R").alias("reexport"))
+    n = a.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("path").alias("target"), F.col("q").alias("m"))
+    star = F.col("q") % 11 == 0
+    name, local = (F.when(star, "*").otherwise(F.concat(F.lit("n"), (F.col(c) % 5).cast("string"))) for c in ("q", "m"))
+    return a.join(n, ["l_orderkey", "l_linenumber"]).select("path", "target", name.alias("name"), local.alias("local"), "erased", (F.col("q") % 7 > 0).alias("binds"), "reexport")
+
+
+def _detail(spark: SparkSession, d: str) -> DataFrame:
+    return I.import_detail(I.with_origins(_next_lines(spark, d)))
+
+
+def _first_folder(paths: DataFrame) -> DataFrame:
+    return paths.select("path", F.split("path", "/")[0].alias("module")).distinct()
+
+
+@query(f"WITH {NEXT_LINES} SELECT path FROM b GROUP BY 1 HAVING bool_and(reexport)")
+def pure_forwarders(spark, d):
+    return I.pure_forwarders(_next_lines(spark, d))
+
+
+@query(f"WITH {NEXT_LINES}, {ORIGINS} SELECT target AS path, name AS local, of_name AS origin FROM named")
+def export_origins(spark, d):
+    return I.export_origins(_next_lines(spark, d))[0]
 
 
-PASSING = """passing AS (SELECT src, dst, count(*) AS weight, count(*) FILTER (origin IN ('L1', 'L2', 'L3')) AS pass_through, arg_min(origin, (-n, origin)) AS origin
-FROM (SELECT *, count(*) OVER (PARTITION BY src, dst, origin) AS n FROM bindings WHERE src <> dst) GROUP BY 1, 2)"""
+@query(f"WITH {NEXT_LINES}, {ORIGINS} SELECT target AS path, of_star AS origin FROM stars")
+def star_origins(spark, d):
+    return I.export_origins(_next_lines(spark, d))[1]
 
 
-@query(f"WITH {TRADE}, {PASSING} SELECT * FROM passing WHERE weight > 0 AND pass_through >= 0.5 * weight AND origin <> dst")
+@query(f"WITH {NEXT_LINES}, {ORIGINS} SELECT * FROM detail")
+def import_detail(spark, d):
+    return _detail(spark, d)
+
+
+@query(f"WITH {NEXT_LINES}, {ORIGINS}, {EDGES_OF} SELECT * FROM graph")
+def module_graph(spark, d):
+    rows = _next_lines(spark, d)
+    of = _first_folder(rows.select("path").union(rows.select("target")))
+    return I.module_graph(_detail(spark, d), of).withColumn("files", F.array_join("files", ","))
+
+
+@query(f"WITH {NEXT_LINES}, {ORIGINS}, {EDGES_OF} SELECT src, dst, weight, pass_through, origin, string_split(origin, '/')[1] AS origin_module FROM graph WHERE weight > 0 AND pass_through >= 0.8 * weight AND string_split(origin, '/')[1] <> dst")
 def dissolves(spark, d):
-    b = _bindings(spark, d)
-    through = b.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"), F.count_if(F.col("origin").isin("L1", "L2", "L3")).alias("pass_through"))
-    return G.dissolves(through.join(G.mode_origin(b).drop("votes"), ["src", "dst"]), 0.5)
+    rows = _next_lines(spark, d)
+    of = _first_folder(rows.select("path").union(rows.select("target")))
+    return I.dissolves(I.module_graph(_detail(spark, d), of), of).select("src", "dst", "weight", "pass_through", "origin", "origin_module")
+
+
+# ---- a small project's imports, with everything the test tables lack
+
+SMALL = f"b AS (SELECT * FROM {fixtures.values(fixtures.BINDINGS, fixtures.BINDING_COLUMNS)})"
+FILE_REACH = """, fe AS (SELECT DISTINCT path AS src, target AS dst FROM detail), fr AS (SELECT src, dst FROM fe UNION SELECT fr.src, fe.dst FROM fr JOIN fe ON fr.dst = fe.src),
+me AS (SELECT DISTINCT src, dst FROM graph), mr AS (SELECT src, dst FROM me UNION SELECT mr.src, me.dst FROM mr JOIN me ON mr.dst = me.src), tangled AS (SELECT src AS module, least(src, min(a.dst)) AS component FROM mr a SEMI JOIN mr b ON a.src = b.dst AND a.dst = b.src GROUP BY src),
+inside AS (SELECT path, module, component FROM (SELECT path, string_split(path, '/')[1] AS module FROM (SELECT src AS path FROM fe UNION SELECT dst FROM fe)) JOIN tangled USING (module)),
+fi AS (SELECT fe.src, fe.dst FROM fe JOIN inside a ON a.path = fe.src JOIN inside b ON b.path = fe.dst WHERE a.component = b.component), fir AS (SELECT src, dst FROM fi UNION SELECT fir.src, fi.dst FROM fir JOIN fi ON fir.dst = fi.src),
+fc AS (SELECT a.src AS path, least(a.src, min(a.dst)) AS cycle FROM fir a JOIN fir b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)"""
+
+
+def _small(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    rows = fixtures.frame(spark, fixtures.BINDINGS, fixtures.BINDING_COLUMNS)
+    return I.import_detail(I.with_origins(rows)), _first_folder(rows.select("path").union(rows.select("target")))
+
+
+@query(f"WITH {SMALL}, {ORIGINS}, {EDGES_OF} SELECT * FROM graph")
+def small_module_graph(spark, d):
+    detail, of = _small(spark)
+    return I.module_graph(detail, of).withColumn("files", F.array_join("files", ","))
+
+
+@query(f"WITH {SMALL}, {ORIGINS}, {EDGES_OF} SELECT src, dst, weight, pass_through, origin, string_split(origin, '/')[1] AS origin_module FROM graph WHERE weight > 0 AND pass_through >= 0.8 * weight AND string_split(origin, '/')[1] <> dst")
+def small_dissolves(spark, d):
+    detail, of = _small(spark)
+    return I.dissolves(I.module_graph(detail, of), of).select("src", "dst", "weight", "pass_through", "origin", "origin_module")
+
+
+@query(f"WITH RECURSIVE {SMALL}, {ORIGINS}, {EDGES_OF}{FILE_REACH} SELECT component, cycle, count(*) AS size, count(DISTINCT module) AS modules, count(DISTINCT module) > 1 AS crossing, string_agg(path, ',' ORDER BY path) AS members FROM fc JOIN inside USING (path) GROUP BY 1, 2 HAVING count(*) > 1")
+def file_cycles(spark, d):
+    checkpoint_folder(spark)
+    detail, of = _small(spark)
+    components = G.strong_components(I.module_graph(detail, of), I.modules(of))
+    return I.file_cycles(detail, of, components, G.strong_components).withColumn("members", F.array_join("members", ","))
+
+
+@query(f"WITH RECURSIVE {SMALL}, {ORIGINS}, {EDGES_OF}, me AS (SELECT DISTINCT src, dst FROM graph WHERE NOT type_only), mr AS (SELECT src, dst FROM me UNION SELECT mr.src, me.dst FROM mr JOIN me ON mr.dst = me.src), n AS (SELECT src AS node FROM graph UNION SELECT dst FROM graph) SELECT node, least(node, coalesce((SELECT min(a.dst) FROM mr a JOIN mr b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node)) AS component FROM n")
+def small_runtime_scc(spark, d):
+    checkpoint_folder(spark)
+    detail, of = _small(spark)
+    return G.strong_components(I.module_graph(detail, of, "exclude"), I.modules(of))
 
 
 PATHS = "paths AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)"
@@ -410,41 +579,41 @@ def import_index(spark, d):
     return _uses(spark, d).groupBy(F.col("target").alias("file")).agg(F.count("*").alias("importers"))
 
 
-@query(f"""WITH {USES}, size AS (SELECT cluster_id, count(*) AS n_files FROM members GROUP BY 1 HAVING count(*) >= 2), ins AS (SELECT cluster_id, target, count(*) AS k FROM members JOIN uses USING (file) GROUP BY 1, 2),
-imp AS (SELECT target, count(*) AS n FROM uses GROUP BY 1)
-SELECT cluster_id, target, n_files, n - k AS outside FROM ins JOIN size USING (cluster_id) JOIN imp USING (target) WHERE k = n_files AND n - k <= 0.9 * ((SELECT count(DISTINCT file) FROM uses) - n_files)""")
-def shared_imports(spark, d):
-    return K.shared_imports(_members(spark, d), _uses(spark, d), ubiquity=0.9)
+ORDER_USES = """uses AS (SELECT DISTINCT l_orderkey AS file, l_partkey AS target FROM lineitem), members AS (SELECT o_custkey || '/' || o_orderpriority AS cluster_id, o_orderkey AS file FROM orders)"""
 
 
-SELLS = """sells AS (SELECT DISTINCT s_nationkey AS file, c_nationkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49),
-groups AS (SELECT 'region ' || n_regionkey AS cluster_id, n_nationkey AS file FROM nation)"""
+@query(f"""WITH {ORDER_USES}, size AS (SELECT cluster_id, count(*) AS n_files FROM members GROUP BY 1 HAVING count(*) >= 2), ins AS (SELECT cluster_id, target, count(*) AS k FROM members JOIN uses USING (file) GROUP BY 1, 2),
+imp AS (SELECT target, count(*) AS n FROM uses GROUP BY 1)
+SELECT cluster_id, target, n_files, n - k AS outside FROM ins JOIN size USING (cluster_id) JOIN imp USING (target) WHERE k = n_files AND n - k <= 0.2 * ((SELECT count(DISTINCT file) FROM uses) - n_files)""")
+def shared_imports(spark, d):
+    """Orders of a customer and priority are a cluster's files, parts their imports."""
+    members = table(spark, d, "orders").select(F.concat_ws("/", "o_custkey", "o_orderpriority").alias("cluster_id"), F.col("o_orderkey").alias("file"))
+    return K.shared_imports(members, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("target")).distinct())
 
 
-def _sells(spark: SparkSession, d: str) -> DataFrame:
-    t = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer", "supplier")}
-    made = t["lineitem"].where("l_quantity >= 49").join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
-    return made.select(F.col("s_nationkey").alias("file"), F.col("c_nationkey").alias("target")).distinct()
+LINKS = f"""{NEXT_LINES}, uses AS (SELECT DISTINCT path AS file, target FROM b WHERE path <> target), members AS (SELECT DISTINCT p_brand AS cluster_id, path AS file FROM b JOIN part ON p_partkey = string_split(path, '/')[1]::BIGINT),
+direct AS (SELECT DISTINCT g.cluster_id, s.file FROM members g JOIN uses s ON s.target = g.file WHERE NOT EXISTS (FROM members m WHERE m.cluster_id = g.cluster_id AND m.file = s.file)), forward AS (SELECT path FROM b GROUP BY 1 HAVING bool_and(reexport))"""
 
 
-def _regions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select(F.concat(F.lit("region "), F.col("n_regionkey")).alias("cluster_id"), F.col("n_nationkey").alias("file"))
+def _brand_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts with suppliers are files, a brand's are a cluster: members, uses, and files that only forward."""
+    rows = _next_lines(spark, d)
+    brand = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("key"), F.col("p_brand").alias("cluster_id"))
+    members = rows.select(F.col("path").alias("file"), F.split("path", "/")[0].alias("key")).distinct().join(brand, "key").select("cluster_id", "file")
+    return members, rows.where("path <> target").select(F.col("path").alias("file"), "target").distinct(), I.pure_forwarders(rows)
 
 
-@query(f"WITH {SELLS} SELECT DISTINCT g.cluster_id, s.file FROM groups g JOIN sells s ON s.target = g.file WHERE NOT EXISTS (FROM groups m WHERE m.cluster_id = g.cluster_id AND m.file = s.file)")
+@query(f"WITH {LINKS} SELECT cluster_id, file FROM direct")
 def dependents(spark, d):
-    return K.dependents(_regions(spark, d), _sells(spark, d))
+    members, uses, _ = _brand_members(spark, d)
+    return K.dependents(members, uses)
 
 
-@query(f"""WITH {SELLS}, direct AS (SELECT DISTINCT g.cluster_id, s.file FROM groups g JOIN sells s ON s.target = g.file WHERE NOT EXISTS (FROM groups m WHERE m.cluster_id = g.cluster_id AND m.file = s.file)),
-barrels AS (SELECT * FROM direct WHERE file % 5 = 0)
-SELECT DISTINCT b.cluster_id, s.file FROM barrels b JOIN sells s ON s.target = b.file WHERE NOT EXISTS (FROM groups m WHERE m.cluster_id = b.cluster_id AND m.file = s.file) AND NOT EXISTS (FROM direct m WHERE m.cluster_id = b.cluster_id AND m.file = s.file)""")
+@query(f"""WITH {LINKS} SELECT DISTINCT b.cluster_id, s.file FROM direct b JOIN forward f ON f.path = b.file JOIN uses s ON s.target = b.file WHERE NOT EXISTS (FROM members m WHERE m.cluster_id = b.cluster_id AND m.file = s.file)
+AND NOT EXISTS (FROM direct m WHERE m.cluster_id = b.cluster_id AND m.file = s.file)""")
 def barrel_dependents(spark, d):
-    """A nation whose key 5 divides stands for a file that only forwards."""
-    members, uses = _regions(spark, d), _sells(spark, d)
-    direct = K.dependents(members, uses)
-    second = K.dependents(direct.where("file % 5 = 0"), uses)
-    return second.join(members, ["cluster_id", "file"], "left_anti").join(direct, ["cluster_id", "file"], "left_anti")
+    members, uses, forwarders = _brand_members(spark, d)
+    return K.barrel_dependents(members, uses, K.dependents(members, uses), forwarders)
 
 
 @query("""WITH hops AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey % 3 <> 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey % 5 = 0),
@@ -460,12 +629,61 @@ def shim_follow(spark, d):
 # ---- sources, diffs, reports
 
 
-@query(r"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN list_has_any(string_split(regexp_replace(url, '^[a-z]+://', ''), '/')[:-2], ['.cache', '.gen', '.next', '.output', '.svelte-kit', '.turbo', '__generated__', 'build', 'coverage', 'dist', 'generated', 'out']) THEN 'directory'
-WHEN regexp_matches(url, '/[^/]*[0-4]$') THEN 'pattern' WHEN regexp_matches(regexp_extract(substring(html, 1, 4096), '^((?:\s+|//[^\n]*|#![^\n]*|/\*(?s:.*?)\*/|<!--(?s:.*?)-->)*)', 1), '(?i)@generated|auto[- ]generated|automatically[- ]generated|generated (by|from|with)') THEN 'banner' ELSE 'kept' END AS reason FROM pages) GROUP BY 1""")
+#: Pages as files: every fifth in a generated folder, every fourth with a mark of a generated file that counts, every seventh with one that doesn't.
+MADE = r"""made AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'dist/' ELSE '' END || regexp_replace(url, '^[a-z]+://', '') || CASE WHEN page_id % 3 = 0 THEN '.test.ts' ELSE '.ts' END AS path,
+CASE WHEN page_id % 4 = 0 THEN '// x' || chr(10) || '/* Auto-generated */ ' WHEN page_id % 7 = 0 THEN 'x // @generated ' ELSE '' END || html AS text FROM pages)"""
+GENERATED_SQL = "list_has_any(string_split(path, '/')[:-2], ['" + "', '".join(X.GENERATED_DIRECTORIES) + "'])"
+BANNER_SQL = r"regexp_matches(regexp_extract(substring(text, 1, 4096), '^((?:\s+|//[^\n]*|#![^\n]*|/\*(?s:.*?)\*/|<!--(?s:.*?)-->)*)', 1), '(?i)@generated|auto[- ]generated|automatically[- ]generated|generated (by|from|with)')"
+
+
+def _made_pages(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("page_id")
+    path = F.concat(F.when(key % 5 == 0, "dist/").otherwise(""), F.regexp_replace("url", "^[a-z]+://", ""), F.when(key % 3 == 0, ".test.ts").otherwise(".ts"))
+    text = F.concat(F.when(key % 4 == 0, "// x\n/* Auto-generated */ ").when(key % 7 == 0, "x // @generated ").otherwise(""), F.col("html"))
+    return table(spark, d, "pages").select("page_id", path.alias("path"), text.alias("text"))
+
+
+@query(f"WITH {MADE} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN {GENERATED_SQL} THEN 'directory' WHEN regexp_matches(path, '^(?:[^/]+/)*[^/]*[0-4]\\.ts$') THEN 'pattern' WHEN {BANNER_SQL} THEN 'banner' ELSE 'kept' END AS reason FROM made) GROUP BY 1")
 def excluded_counts(spark, d):
-    path = F.regexp_replace("url", "^[a-z]+://", "")
-    reason = F.when(X.in_generated_directory(path), "directory").when(F.col("url").rlike("/[^/]*[0-4]$"), "pattern").when(X.has_generated_banner(F.col("html")), "banner").otherwise("kept")
-    return table(spark, d, "pages").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    reason = P.drop_reason(F.col("path"), F.col("text"), exclude=("**/*[0-4].ts",))
+    return _made_pages(spark, d).groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {MADE} SELECT page_id FROM made WHERE {BANNER_SQL}")
+def generated_banner(spark, d):
+    return _made_pages(spark, d).where(X.has_generated_banner(F.col("text"))).select("page_id")
+
+
+@query(f"WITH {MADE} SELECT page_id FROM made WHERE {GENERATED_SQL}")
+def generated_directory(spark, d):
+    return _made_pages(spark, d).where(X.in_generated_directory(F.col("path"))).select("page_id")
+
+
+@query(rf"WITH {MADE} SELECT page_id FROM made WHERE regexp_matches(path, '\.(test|spec)\.[cm]?[jt]sx?$') OR list_has_any(string_split(path, '/')[:-2], ['__tests__', 'test', 'tests'])")
+def test_paths(spark, d):
+    return _made_pages(spark, d).where(X.is_test_path(F.col("path"))).select("page_id")
+
+
+@query(f"WITH {MADE} SELECT page_id FROM made WHERE NOT {GENERATED_SQL} AND NOT list_has_any(string_split(path, '/')[:-2], ['node_modules']) AND NOT list_bool_or(list_transform(string_split('x/' || path, '/')[:-2], lambda s: starts_with(s, '.'))) AND regexp_matches(path, '\\.[cm]?tsx?$') AND NOT ends_with(path, '.d.ts')")
+def disk_scan(spark, d):
+    return P.disk_scan(_made_pages(spark, d)).select("page_id")
+
+
+@query("SELECT 'd/' || (doc_id % 400) AS abs_path FROM documents WHERE doc_id % 3 <> 0 UNION SELECT 'd/' || (doc_id % 400) FROM documents WHERE doc_id % 2 = 0")
+def one_row_per_path(spark, d):
+    """Two projects that share files, and each of them some twice."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d/"), F.col("doc_id") % 400).alias("abs_path"))
+    return P.one_per_path([docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 2 = 0")]).select("abs_path")
+
+
+@query(f"""WITH {PATHS}, conf AS (SELECT DISTINCT array_to_string(string_split(path, '/')[:-2], '/') AS folder FROM paths WHERE page_id % 5 = 0), missing AS (SELECT DISTINCT path, string_split(path, '/')[:-2] AS dirs FROM paths WHERE path NOT IN (SELECT path FROM paths WHERE page_id % 3 = 0)),
+above AS (SELECT path, array_to_string(dirs[:k], '/') AS folder FROM missing, range(0, 12) t(k) WHERE k <= len(dirs)), nearest AS (SELECT path, arg_max(folder, length(folder)) AS owner FROM above SEMI JOIN conf USING (folder) GROUP BY 1)
+SELECT coalesce(CASE WHEN owner = '' THEN '.' ELSE owner END, CASE WHEN len(dirs) > 0 THEN dirs[1] ELSE '.' END) AS owner, count(*) AS missing FROM missing LEFT JOIN nearest USING (path) GROUP BY 1""")
+def coverage_by_owner(spark, d):
+    """Pages of every third id are analysed, folders of every fifth have a configuration."""
+    paths = _paths(spark, d)
+    conf = paths.where("page_id % 5 = 0").select(F.array_join(X.directories(F.col("path")), "/").alias("folder"))
+    return P.coverage(paths.select("path").distinct(), paths.where("page_id % 3 = 0"), conf)[0]
 
 
 @query("SELECT source, count(*) AS missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1")
@@ -487,32 +705,32 @@ def report_diff(spark, d):
 SELECT 'hit' AS kind, count(*) AS n FROM new SEMI JOIN old USING (doc_id, h) UNION ALL SELECT 'miss', count(*) FROM new ANTI JOIN old USING (doc_id, h) UNION ALL SELECT 'stale', count(*) FROM old ANTI JOIN new USING (doc_id)""")
 def incremental_hits_misses(spark, d):
     """Two made-up snapshots: files that came, went and changed in between."""
-    docs = table(spark, d, "documents")
-    old = docs.where("doc_id % 3 <> 0").select("doc_id", F.md5("text").alias("h"))
-    new = docs.where("doc_id % 7 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("h"))
-    parts = (("hit", new.join(old, ["doc_id", "h"], "left_semi")), ("miss", new.join(old, ["doc_id", "h"], "left_anti")), ("stale", old.join(new, "doc_id", "left_anti")))
-    hit, miss, stale = (x.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, x in parts)
-    return hit.union(miss).union(stale)
+    docs = table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    old = docs.where("doc_id % 3 <> 0").select("path", F.md5("text").alias("content_hash"))
+    new = docs.where("doc_id % 7 <> 0").select("path", F.md5(F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"))
+    parts = [x.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, x in zip(("hit", "miss", "stale"), split_by_cache(new, old), strict=True)]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
-@query(f"""WITH {FRAGMENTS}, best AS (SELECT cluster_id, mass, 1 + ceil(length(cluster_id || ' x' || copies || ' ' || mass) / 4)::BIGINT AS cost FROM k0 ORDER BY mass DESC, cluster_id LIMIT 200),
+@query(f"""WITH {FRAGMENTS}, best AS (SELECT cluster_id, mass, 1 + ceil(length(cluster_id || ' x' || copies || ' ' || mass) / 4)::BIGINT AS cost FROM k0),
 run AS (SELECT cluster_id, cost, sum(cost) OVER (ORDER BY mass DESC, cluster_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running_cost FROM best) SELECT * FROM run WHERE running_cost <= 500""")
 def token_budget_prefix(spark, d):
     line = F.concat("cluster_id", F.lit(" x"), F.col("copies").cast("string"), F.lit(" "), F.col("mass").cast("string"))
-    rows = C.top(C.groups(_fragments(spark, d)), 200).select("cluster_id", "mass", (F.ceil(F.length(line) / 4) + 1).alias("cost"))
+    rows = C.groups(_fragments(spark, d)).select("cluster_id", "mass", (F.ceil(F.length(line) / 4) + 1).alias("cost"))
     return K.budget_prefix(rows, "cost", [F.desc("mass"), F.col("cluster_id")], 500).select("cluster_id", "cost", "running_cost")
 
 
-@query("""SELECT doc_id, array_to_string(list_concat(list_transform(string_split(text, chr(10))[:3], lambda l: CASE WHEN length(rtrim(l, ' ')) > 100 THEN substring(rtrim(l, ' '), 1, 99) || '…' ELSE rtrim(l, ' ') END),
-CASE WHEN len(string_split(text, chr(10))) > 3 THEN ['…'] ELSE [] END), chr(10)) AS excerpt FROM documents""")
+INDENT = "coalesce(list_min(list_transform(list_filter(lines[2:], lambda l: trim(l, ' ') <> ''), lambda l: length(l) - length(ltrim(l, ' ')))), 0)"
+
+
+@query(f"""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents), c AS (SELECT *, list_transform(lines[:3], lambda x, i: rtrim(CASE WHEN i = 1 THEN x ELSE substring(x, {INDENT} + 1) END, ' ')) AS few FROM l)
+SELECT doc_id, CASE WHEN regexp_matches(text, '^\\s*$') THEN '' ELSE array_to_string(list_concat(list_transform(few, lambda x: CASE WHEN length(x) > 100 THEN substring(x, 1, 99) || '…' ELSE x END), CASE WHEN len(lines) > 3 THEN ['…'] ELSE [] END), chr(10)) END AS excerpt FROM c""")
 def excerpt(spark, d):
     return table(spark, d, "documents").select("doc_id", X.excerpt(F.col("text"), 3).alias("excerpt"))
 
 
 @query(f"WITH {FRAGMENTS}, n AS (SELECT cluster_id, source, count(DISTINCT doc_id) AS files FROM o0 GROUP BY 1, 2) SELECT cluster_id, source, files, row_number() OVER (PARTITION BY cluster_id ORDER BY files DESC, source)::INT AS place FROM n QUALIFY place <= 3")
 def directory_spread(spark, d):
-    from pyspark.sql import Window
-
     made = _copies(spark, d).groupBy("cluster_id", "source").agg(F.count_distinct("doc_id").alias("files"))
     return made.withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("files"), "source"))).where("place <= 3")
 
@@ -532,3 +750,162 @@ def html_fragment_list(spark, d):
 def html_dup(spark, d):
     made = html_fragments(table(spark, d, "pages")).groupBy("l1").agg(F.count("*").alias("copies"), F.count_distinct("page_id").alias("pages"), F.min("node_count").alias("node_count"), F.min("kind").alias("kind")).where("copies > 1")
     return made.withColumn("mass", F.col("node_count") * (F.col("copies") - 1)).orderBy(F.desc("mass"), "l1")
+
+
+# ---- ranking, subsumption and splits of the mass
+
+
+DOCUMENT_CLUSTERS = """outer_ AS (SELECT doc_id, source, md5(text) AS outer_id, len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> '')) AS n FROM documents WHERE length(text) > 0 AND md5(text) IN (SELECT md5(text) FROM documents GROUP BY 1 HAVING count(*) > 1)),
+held AS (SELECT outer_id, cluster_id, min(n) AS n, count(*) AS contained FROM outer_ JOIN o0 USING (doc_id) WHERE outer_id <> cluster_id GROUP BY 1, 2),
+swallow AS (SELECT h.cluster_id, arg_min(outer_id, (-h.n, outer_id)) AS outer_id FROM held h JOIN k0 USING (cluster_id) WHERE h.contained >= 0.8 * k0.copies AND (h.n > k0.node_count OR (h.n = k0.node_count AND h.outer_id < h.cluster_id)) GROUP BY 1)"""
+
+
+@query(f"""WITH {FRAGMENTS}, {DOCUMENT_CLUSTERS}, outside AS (SELECT s.outer_id, o.source || '/' || o.doc_id AS path, min(o.seq) AS line FROM swallow s JOIN o0 o ON o.cluster_id = s.cluster_id WHERE NOT EXISTS (FROM outer_ x WHERE x.outer_id = s.outer_id AND x.doc_id = o.doc_id) GROUP BY 1, 2)
+SELECT outer_id AS cluster_id, path, line, row_number() OVER (PARTITION BY outer_id ORDER BY len(string_split(path, '/')), path)::INT AS place FROM outside""")
+def also_at(spark, d):
+    """Where lines of duplicated documents stand in others."""
+    checkpoint_folder(spark)
+    whole = _documents_as_fragments(spark, d)
+    outer, lines = C.groups(whole), C.groups(_fragments(spark, d))
+    every = lines.union(outer.join(lines.select("cluster_id"), "cluster_id", "left_anti"))
+    names = ["cluster_id", "doc_id", "source", "start_at", "end_at", "seq"]
+    big, small = C.occurrences(whole, outer).select(names), _copies(spark, d).select(names)
+    pairs = C.containment(big, small)
+    copies = small.union(big.join(lines.select("cluster_id"), "cluster_id", "left_anti")).withColumn("path", F.concat_ws("/", "source", "doc_id"))
+    return C.also_at(pairs, every, C.subsume(pairs, every), copies, "path", "seq")
+
+
+SCORED_L1 = """o1 AS (SELECT f.*, cluster_id FROM frags f JOIN k1 ON l1 = cluster_id WHERE literal_share < 0.35),
+scored1 AS (SELECT cluster_id, copies, round(greatest(0, (least(copies, 10 * files) - 1) * (lines_per_copy - 1) - 2) * CASE WHEN modules > 1 THEN 2.5 WHEN files > 1 THEN 1.4 ELSE 0.8 END * 0.9
+    * (0.4 + 0.6 * (1 - tests / copies)) * (0.2 + 0.8 * parents / copies), 4) AS score
+  FROM (SELECT cluster_id, count(*) AS copies, count(DISTINCT doc_id) AS files, count(DISTINCT source) AS modules, count(*) FILTER (lang <> 'en') AS tests, count(DISTINCT doc_id) AS parents, median(n_words) AS lines_per_copy FROM o1 GROUP BY 1)),
+spread AS (SELECT cluster_id, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM o1), made AS (SELECT cluster_id, pos, count(DISTINCT token) AS names, bool_and(NOT regexp_matches(token, '[0-9]')) AS field FROM spread GROUP BY 1, 2),
+drift AS (SELECT cluster_id, count(*) FILTER (names > 1) AS varying, count(*) AS total FROM made WHERE field GROUP BY 1)"""
+
+
+@query(f"""WITH {FRAGMENTS}, {SCORED_L1}, pool AS (SELECT * FROM scored1 ORDER BY score DESC, cluster_id LIMIT 30)
+SELECT cluster_id, copies, round(score * CASE WHEN coalesce(total, 0) > 0 THEN 1 - 0.75 * varying / total ELSE 1 END, 4) AS score FROM pool LEFT JOIN drift USING (cluster_id) ORDER BY 3 DESC, 1 LIMIT 10""")
+def cluster_rerank(spark, d):
+    """The ten best clusters of renamed lines, of the thirty best by score, after those whose names vary fall back."""
+    fragments = line_fragments(table(spark, d, "documents"))
+    named = fragments.withColumn("cluster_id", X.stream_hash(X.alpha_rename(F.col("words")))).where(X.literal_share(F.col("words")) < C.LITERAL_LIMIT)
+    copies = named.join(C.groups(shaped(fragments), "L1").select("cluster_id"), "cluster_id")
+    scores = C.scored(copies, F.col("lang") != "en", F.col("n_words"), "L1")
+    return C.rerank(scores, K.field_drift(copies), 10).select("cluster_id", "copies", "score")
+
+
+@query(f"""WITH {FRAGMENTS}, part_ AS (SELECT l0, min(n_words) * (count(*) - 1) AS mass FROM frags WHERE doc_id % 2 = 0 GROUP BY 1 HAVING count(*) > 1), m AS (SELECT (SELECT coalesce(sum(mass), 0)::BIGINT FROM part_) AS before, (SELECT coalesce(sum(mass), 0)::BIGINT FROM k0) AS after)
+SELECT before, after, CASE WHEN before = 0 THEN CASE WHEN after = 0 THEN 0.0 ELSE 100.0 END ELSE round(100.0 * (after - before) / before, 4) END::DOUBLE AS change FROM m""")
+def metric_change(spark, d):
+    """The duplicated mass of the documents of even ids, and of all."""
+    fragments = _fragments(spark, d)
+    before, after = (C.groups(f).agg(F.coalesce(F.sum("mass"), F.lit(0)).alias(n)) for f, n in ((fragments.where("doc_id % 2 = 0"), "before"), (fragments, "after")))
+    return before.crossJoin(after).withColumn("change", K.percent_change(F.col("before"), F.col("after")))
+
+
+@query(f"WITH {FRAGMENTS} SELECT tag, count(*) AS clusters, sum(mass)::BIGINT AS mass FROM scored JOIN k0 USING (cluster_id) GROUP BY 1")
+def mass_by_tag(spark, d):
+    return H.mass_by_tag(_copies(spark, d), F.col("lang") != "en", C.groups(_fragments(spark, d)).select("cluster_id", "mass"))
+
+
+@query(f"WITH {FRAGMENTS} SELECT coalesce(sum(mass) FILTER (modules > 1), 0)::BIGINT AS crossing, coalesce(sum(mass), 0)::BIGINT AS mass, round(coalesce(sum(mass) FILTER (modules > 1), 0) / sum(mass), 6)::DOUBLE AS share FROM k0")
+def cross_package_share(spark, d):
+    return H.cross_package_share(_copies(spark, d), "source", C.groups(_fragments(spark, d)).select("cluster_id", "mass"))
+
+
+@query(f"""WITH {FRAGMENTS}, comp AS (SELECT DISTINCT source AS module, 'c' || (length(source) % 3) AS component FROM documents), big AS (SELECT component FROM comp GROUP BY 1 HAVING count(*) > 1), x AS (SELECT component, cluster_id FROM (SELECT DISTINCT cluster_id, source AS module FROM o0) JOIN comp USING (module)
+JOIN big USING (component) GROUP BY 1, 2 HAVING count(*) > 1) SELECT component, count(*) AS clusters, sum(mass)::BIGINT AS mass FROM x JOIN k0 USING (cluster_id) GROUP BY 1""")
+def duplication_in_tangles(spark, d):
+    """Sources whose names are as long, modulo 3, stand for a tangle."""
+    components = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("node"), F.concat(F.lit("c"), F.length("source") % 3).alias("component")).distinct()
+    return H.duplication_in_tangles(_copies(spark, d).withColumnRenamed("source", "module"), components, C.groups(_fragments(spark, d)).select("cluster_id", "mass"))
+
+
+@query(f"""WITH {PATHS}, conf AS (SELECT DISTINCT array_to_string(string_split(path, '/')[:-2], '/') AS folder FROM paths WHERE page_id % 4 = 0), p AS (SELECT DISTINCT path, string_split(path, '/')[:-2] AS dirs FROM paths),
+nearest AS (SELECT path, arg_max(folder, length(folder)) AS package FROM (SELECT path, array_to_string(dirs[:k], '/') AS folder FROM p, range(0, 12) t(k) WHERE k <= len(dirs)) SEMI JOIN conf USING (folder) GROUP BY 1)
+SELECT path, CASE WHEN coalesce(package, '') = '' THEN '.' ELSE package END AS package FROM p LEFT JOIN nearest USING (path)""")
+def nearest_package(spark, d):
+    paths = _paths(spark, d)
+    return H.nearest_package(paths.select("path").distinct(), paths.where("page_id % 4 = 0").select(F.array_join(X.directories(F.col("path")), "/").alias("folder")))
+
+
+TREES = f"SELECT * FROM {fixtures.values(fixtures.TREE, fixtures.TREE_COLUMNS)}"
+
+
+@query(f"""WITH t AS ({TREES}), l2 AS (SELECT *, md5(concat_ws('|', kind, coalesce(text, ''), '')) AS hash FROM t WHERE depth = 2),
+l1 AS (SELECT t.*, md5(concat_ws('|', kind, coalesce(text, ''), coalesce((SELECT string_agg(hash, '|' ORDER BY place) FROM l2 WHERE l2.parent = t.node), ''))) AS hash FROM t WHERE depth = 1),
+l0 AS (SELECT t.*, md5(concat_ws('|', kind, coalesce(text, ''), coalesce((SELECT string_agg(hash, '|' ORDER BY place) FROM l1 WHERE l1.parent = t.node), ''))) AS hash FROM t WHERE depth = 0)
+SELECT node, hash FROM l0 UNION ALL SELECT node, hash FROM l1 UNION ALL SELECT node, hash FROM l2""")
+def merkle_hashes(spark, d):
+    return H.merkle_levels(fixtures.frame(spark, fixtures.TREE, fixtures.TREE_COLUMNS), 2)
+
+
+LINKED_PAGES = """imp AS (SELECT a.path AS path, b.path AS target FROM paths a JOIN paths b ON b.page_id = (a.page_id * 7 + 3) % 40 WHERE a.path <> b.path)"""
+
+
+@query(f"""WITH RECURSIVE {PATHS}, {LINKED_PAGES}, uniq AS (SELECT DISTINCT path, string_split(path, '/')[:-2] AS dirs FROM paths), m AS (SELECT depth, path, CASE WHEN len(dirs) = 0 THEN '<root>' ELSE array_to_string(dirs[:depth], '/') END AS module FROM uniq, range(1, 4) t(depth)),
+j AS (SELECT m.depth, m.module AS src, n.module AS dst FROM imp JOIN m USING (path) JOIN m n ON n.path = imp.target AND n.depth = m.depth), e AS (SELECT DISTINCT depth, src, dst FROM j WHERE src <> dst), r AS (SELECT * FROM e UNION SELECT r.depth, r.src, e.dst FROM r JOIN e ON e.depth = r.depth AND e.src = r.dst),
+c AS (SELECT a.depth, a.src, min(a.dst) AS low, count(DISTINCT a.dst) AS n FROM r a JOIN r b ON a.depth = b.depth AND a.src = b.dst AND a.dst = b.src GROUP BY 1, 2)
+SELECT 'dir:' || depth AS label, count(DISTINCT module) AS modules, (SELECT count(*) FROM e WHERE e.depth = m.depth) AS edges, (SELECT count(*) FROM j WHERE j.depth = m.depth AND src = dst) AS intra,
+(SELECT count(DISTINCT least(low, src)) FROM c WHERE c.depth = m.depth AND n > 1) AS cycles, (SELECT coalesce(max(n), 0) FROM c WHERE c.depth = m.depth AND n > 1) AS largest, round(count(*) / count(DISTINCT module), 6)::DOUBLE AS files_a_module FROM m GROUP BY depth""")
+def granularity_table(spark, d):
+    checkpoint_folder(spark)
+    paths = _paths(spark, d).distinct()
+    target = paths.select(F.col("page_id").alias("to"), F.col("path").alias("target"))
+    imports = paths.join(target, (F.col("page_id") * 7 + 3) % 40 == F.col("to")).where("path <> target").select("path", "target")
+    return H.granularity_table(imports, paths.select("path").distinct())
+
+
+FEW = f"copies AS (SELECT cluster_id, copy, string_split(words, ' ') AS words FROM {fixtures.values(fixtures.COPIES, 'cluster_id, copy, words')})"
+
+
+@query(f"""WITH {FEW}, spread AS (SELECT cluster_id, unnest(words) AS token, generate_subscripts(words, 1) - 1 AS pos FROM copies),
+made AS (SELECT cluster_id, pos, count(DISTINCT token) AS n, min(token) AS token, bool_or(NOT regexp_matches(token, '[0-9]')) AS is_named FROM spread GROUP BY 1, 2),
+labelled AS (SELECT *, coalesce(last_value(CASE WHEN n = 1 AND is_named THEN token END IGNORE NULLS) OVER (PARTITION BY cluster_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'an unnamed literal') AS label FROM made)
+SELECT cluster_id, pos AS position, label, n AS distinct_values FROM labelled WHERE n > 1 AND NOT is_named""")
+def variations_of_a_few(spark, d):
+    rows = fixtures.frame(spark, fixtures.COPIES, "cluster_id string, copy int, words string").withColumn("words", F.split("words", " "))
+    return K.variations(rows).select("cluster_id", F.col("at").cast("long").alias("position"), "label", "distinct_values")
+
+
+@query(f"""WITH {FEW}, at_ AS (SELECT cluster_id, copy, unnest(words) AS token, generate_subscripts(words, 1) - 1 AS pos FROM copies), made AS (SELECT cluster_id, pos, count(DISTINCT token) AS n, min(token) AS token, bool_or(NOT regexp_matches(token, '[0-9]')) AS is_named FROM at_ GROUP BY 1, 2),
+labelled AS (SELECT cluster_id, pos, coalesce(last_value(CASE WHEN n = 1 AND is_named THEN token END IGNORE NULLS) OVER (PARTITION BY cluster_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'an unnamed literal') AS label, n, is_named FROM made),
+tuples AS (SELECT cluster_id, label, copy, string_agg(token, ' ' ORDER BY pos) AS t, min(pos) AS first_ FROM at_ JOIN labelled USING (cluster_id, pos) WHERE n > 1 AND NOT is_named GROUP BY 1, 2, 3) SELECT cluster_id, label, count(DISTINCT t) AS values_ FROM tuples GROUP BY 1, 2""")
+def distinct_combinations(spark, d):
+    """How many different tuples of values the copies have under each label."""
+    streams: dict[str, list[list[str]]] = {}
+    for c, _, words in fixtures.COPIES:
+        streams.setdefault(c, []).append([f"Number:{w}" if w.isdigit() else f"Id:{w}" for w in words.split()])
+    rows = [(c, v.label, v.values) for c, s in streams.items() for v in V.variations(s)]
+    return spark.createDataFrame(rows, "cluster_id string, label string, values_ long")
+
+
+# ---- the report over a project of three files: two equal functions, one that is so but for names, and two files that import each other
+
+
+def _small_report(spark: SparkSession) -> dict:
+    files = spark.createDataFrame([(p, f"/{p}", t) for p, t in fixtures.FILES], "path string, abs_path string, text string").withColumn("content_hash", F.md5("text"))
+    project = P.Project("/", ("/tsconfig.json",), files, {}, files.select("path"))
+    return report(spark, project, Options(granularity="file", min_lines=3)).json
+
+
+@query("SELECT 69::BIGINT AS duplicated_mass, 0.548936::DOUBLE AS redundant_fraction, 0.444444::DOUBLE AS propagation_cost, 1::BIGINT AS cycle_count, 2::BIGINT AS largest_scc")
+def report_metrics(spark, d):
+    """Metrics of the small project: two of three files reach both, four of nine pairs."""
+    return sidecar.metrics_frame(spark, _small_report(spark))
+
+
+@query("SELECT 'code' AS section, 'L0' AS level, 2 AS copies, 'FunctionDeclaration' AS kind UNION ALL SELECT 'code', 'L1', 3, 'FunctionDeclaration' UNION ALL SELECT 'cycle', '', 2, 'src/a.ts,src/b.ts'")
+def report_findings(spark, d):
+    made = _small_report(spark)
+    rows = [(r["section"], r["level"], r["copies"], r["kind"]) for r in made["duplication"]] + [("cycle", "", r["size"], ",".join(r["members"])) for r in made["cycles"]]
+    return spark.createDataFrame(rows, "section string, level string, copies int, kind string")
+
+
+@query("SELECT true AS same, 0 AS resolved, 0 AS added")
+def sidecar_round_trip(spark, d):
+    """The report written as JSON and read again, and the difference of the two."""
+    made = _small_report(spark)
+    again = sidecar.parse(sidecar.to_json(made), "report.json")
+    changed = sidecar.difference(made, again)
+    return spark.createDataFrame([(sidecar.to_json(again) == sidecar.to_json(made), len(changed.resolved), len(changed.added))], "same boolean, resolved int, added int")

@@ -64,10 +64,14 @@ def recoverable(copies: Column, lines: Column) -> Column:
 def scored(copies: DataFrame, is_test: Column, lines: Column, level: str = "L0") -> DataFrame:
     """Score and tag of each cluster. ``lines``: lines of a copy; parents are (document, parent)."""
     rows = copies.select("cluster_id", "doc_id", "source", is_test.alias("is_test"), lines.alias("lines"), F.col("parent") if "parent" in copies.columns else F.col("doc_id").alias("parent"))
-    made = rows.groupBy("cluster_id").agg(
-        F.count("*").alias("copies"), F.count_distinct("doc_id").alias("files"), F.count_distinct("source").alias("modules"),
-        F.count_if(F.col("is_test")).alias("tests"), F.count_distinct("doc_id", "parent").alias("parents"), F.median("lines").alias("lines_per_copy"),
-    )
+    # one row for each parent and number of lines first, so that no distinct count multiplies the copies and the median weighs counts
+    each = rows.groupBy("cluster_id", "doc_id", "source", "parent", "lines").agg(F.count("*").alias("n"), F.count_if(F.col("is_test")).alias("tests"))
+    by_parent = each.groupBy("cluster_id", "doc_id", "source", "parent").agg(F.sum("n").alias("n"), F.sum("tests").alias("tests"))
+    by_file = by_parent.groupBy("cluster_id", "doc_id", "source").agg(F.sum("n").alias("n"), F.sum("tests").alias("tests"), F.count("*").alias("parents"))
+    by_module = by_file.groupBy("cluster_id", "source").agg(F.sum("n").alias("n"), F.sum("tests").alias("tests"), F.sum("parents").alias("parents"), F.count("*").alias("files"))
+    totals = by_module.groupBy("cluster_id").agg(F.sum("n").alias("copies"), F.sum("files").alias("files"), F.count("source").alias("modules"), F.sum("tests").alias("tests"), F.sum("parents").alias("parents"))
+    spans = each.groupBy("cluster_id", "lines").agg(F.sum("n").alias("n")).groupBy("cluster_id").agg(F.percentile("lines", 0.5, F.col("n")).alias("lines_per_copy"))
+    made = totals.join(spans, "cluster_id")
     spread = F.when(F.col("modules") > 1, SPREAD["module"]).when(F.col("files") > 1, SPREAD["file"]).otherwise(SPREAD["one"])
     share = 1 - F.col("tests") / F.col("copies")
     score = (
@@ -99,32 +103,44 @@ def band(lines: Column) -> Column:
     return F.when(lines >= 100, "100+").when(lines >= 30, "30-99").when(lines >= 10, "10-29").when(lines >= 4, "4-9").when(lines >= 1, "1-3").otherwise("0")
 
 
-def census(scores: DataFrame) -> DataFrame:
-    return scores.where(section() == "production").groupBy(band(F.col("recoverable_lines")).alias("band")).agg(F.count("*").alias("clusters"))
+def census(scores: DataFrame, of: Column | None = None) -> DataFrame:
+    """Clusters of production code by band of recoverable lines; ``of``: the section of each cluster, where there are more than two."""
+    return scores.where((section() if of is None else of) == "production").groupBy(band(F.col("recoverable_lines")).alias("band")).agg(F.count("*").alias("clusters"))
+
+
+#: Characters of a cell of the grid on which ranges meet.
+CELL = 2048
 
 
 def containment(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """For clusters that hold copies of others (same document, range within): outer_id, inner_id, contained, of."""
-    o = outer.select("doc_id", F.col("cluster_id").alias("outer_id"), F.col("start_at").alias("o_start"), F.col("end_at").alias("o_end"))
-    i = inner.select("doc_id", F.col("cluster_id").alias("inner_id"), "start_at", "end_at", "seq")
-    held = o.join(i, "doc_id").where("o_start <= start_at and end_at <= o_end and outer_id <> inner_id")
+    """For clusters that hold copies of others (same document, range within): outer_id, inner_id, contained, of. Ranges meet in the
+    cell where the inner one starts, so a document's ranges are not all paired."""
+    cells = F.sequence(F.floor(F.col("start_at") / CELL), F.floor(F.greatest(F.col("start_at"), F.col("end_at")) / CELL))
+    o = outer.select("doc_id", F.col("cluster_id").alias("outer_id"), F.col("start_at").alias("o_start"), F.col("end_at").alias("o_end"), F.explode(cells).alias("cell"))
+    i = inner.select("doc_id", F.col("cluster_id").alias("inner_id"), "start_at", "end_at", "seq", F.floor(F.col("start_at") / CELL).alias("cell"))
+    held = o.join(i, ["doc_id", "cell"]).where("o_start <= start_at and end_at <= o_end and outer_id <> inner_id")
     total = inner.groupBy(F.col("cluster_id").alias("inner_id")).agg(F.count("*").alias("of"))
     return held.groupBy("outer_id", "inner_id").agg(F.count_distinct("doc_id", "start_at", "end_at", "seq").alias("contained")).join(total, "inner_id").select("outer_id", "inner_id", "contained", "of")
 
 
-def subsume(pairs: DataFrame, clusters: DataFrame, share: float = 0.8) -> DataFrame:
-    """Clusters that no kept larger one holds by ``share``; an L1 cluster never swallows an L0 one. Rounds settle those clusters
-    whose possible holders are all settled, largest first, until none is open."""
+def holders(pairs: DataFrame, clusters: DataFrame, share: float = 0.8) -> DataFrame:
+    """outer_id, inner_id for clusters that hold enough of a smaller one to swallow it; an L1 cluster never swallows an L0 one."""
     c = clusters.select("cluster_id", "level", "node_count")
     o, i = c.alias("o"), c.alias("i")
-    over = (
+    return (
         pairs.where(F.col("contained") >= share * F.col("of"))
         .join(o, F.col("outer_id") == F.col("o.cluster_id")).join(i, F.col("inner_id") == F.col("i.cluster_id"))
         .where("not (i.level = 'L0' and o.level = 'L1')")
         .where("o.node_count > i.node_count or (o.node_count = i.node_count and outer_id < inner_id)")
-        .select("outer_id", "inner_id").checkpoint()
+        .select("outer_id", "inner_id")
     )
-    state = c.select("cluster_id", F.lit(None).cast("boolean").alias("kept"))
+
+
+def subsume(pairs: DataFrame, clusters: DataFrame, share: float = 0.8) -> DataFrame:
+    """Clusters that no kept larger one holds by ``share``. Rounds settle those clusters whose possible holders are all settled,
+    largest first, until none is open."""
+    over = holders(pairs, clusters, share).checkpoint()
+    state = clusters.select("cluster_id", F.lit(None).cast("boolean").alias("kept"))
     while True:
         seen = over.join(state, F.col("outer_id") == F.col("cluster_id")).groupBy("inner_id").agg(F.max("kept").alias("held"), F.count_if(F.col("kept").isNull()).alias("open"))
         state = state.join(seen, F.col("cluster_id") == F.col("inner_id"), "left").select(
@@ -132,3 +148,19 @@ def subsume(pairs: DataFrame, clusters: DataFrame, share: float = 0.8) -> DataFr
         ).checkpoint()
         if state.where("kept is null").isEmpty():
             return clusters.join(state.where("kept").select("cluster_id"), "cluster_id", "left_semi")
+
+
+def also_at(pairs: DataFrame, clusters: DataFrame, kept: DataFrame, copies: DataFrame, path: str = "doc_id", line: str = "line", share: float = 0.8) -> DataFrame:
+    """cluster_id, path, line, place: where else parts of a kept cluster stand. Of each swallowed cluster, its largest kept holder gains, if
+    their levels are equal, the copies outside its own: one for each file, at the earliest line, shallow paths first."""
+    level = clusters.select("cluster_id", "level", "node_count")
+    over = holders(pairs, clusters, share).join(kept.select(F.col("cluster_id").alias("outer_id")), "outer_id", "left_semi").join(kept.select(F.col("cluster_id").alias("inner_id")), "inner_id", "left_anti")
+    first = F.min(F.struct((-F.col("node_count")).alias("n"), F.col("outer_id").alias("id")))
+    chosen = over.join(level.withColumnRenamed("cluster_id", "outer_id"), "outer_id").groupBy("inner_id").agg(first.alias("x")).select("inner_id", F.col("x.id").alias("outer_id"))
+    same = chosen.join(level.select(F.col("cluster_id").alias("inner_id"), F.col("level").alias("a")), "inner_id").join(level.select(F.col("cluster_id").alias("outer_id"), F.col("level").alias("b")), "outer_id").where("a = b").select("inner_id", "outer_id")
+    rows = copies.select(F.col("cluster_id").alias("inner_id"), "doc_id", "start_at", "end_at", F.col(path).alias("path"), F.col(line).alias("line")).join(same, "inner_id")
+    own = copies.select(F.col("cluster_id").alias("outer_id"), "doc_id", F.col("start_at").alias("o_start"), F.col("end_at").alias("o_end"))
+    outside = rows.join(own, (rows["outer_id"] == own["outer_id"]) & (rows["doc_id"] == own["doc_id"]) & (F.col("o_start") <= F.col("start_at")) & (F.col("end_at") <= F.col("o_end")), "left_anti")
+    each = outside.groupBy(F.col("outer_id").alias("cluster_id"), "path").agg(F.min("line").alias("line"))
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.size(F.split("path", "/")), "path"))
+    return each.select("cluster_id", "path", "line", place.alias("place"))

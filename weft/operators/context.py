@@ -30,6 +30,13 @@ def dependents(members: DataFrame, imports: DataFrame) -> DataFrame:
     return reached.join(members.select("cluster_id", "file"), ["cluster_id", "file"], "left_anti")
 
 
+def barrel_dependents(members: DataFrame, imports: DataFrame, direct: DataFrame, forwarders: DataFrame) -> DataFrame:
+    """cluster_id, file of the distinct importers of direct dependents that only forward (forwarders: path), which are neither of the
+    cluster nor direct themselves."""
+    barrels = direct.join(forwarders.select(F.col("path").alias("file")), "file", "left_semi")
+    return dependents(barrels, imports).join(members.select("cluster_id", "file"), ["cluster_id", "file"], "left_anti").join(direct, ["cluster_id", "file"], "left_anti")
+
+
 def near_variants(streams: DataFrame, similar: float = 0.6, most: int = 3, k: int = 5) -> DataFrame:
     """streams: id, doc_id, start_at, end_at, words (of the findings that a report emits). Other findings of similar shingles that do not overlap, the best few."""
     grams = streams.select("id", "doc_id", "start_at", "end_at", F.explode(X.shingles(F.col("words"), k)).alias("gram"))
@@ -48,7 +55,8 @@ def minhash(words: Column, k: int = 5, hashes: int = 128) -> Column:
 
 
 def lsh_pairs(streams: DataFrame, bands: int = 32, rows: int = 4, largest: int = 40, similar: float = 0.7) -> DataFrame:
-    """Pairs (u, v) of ids whose signatures agree in a band (of buckets of 2 to ``largest``, as the operator defines) and whose shingles are similar."""
+    """Pairs (u, v) of ids whose signatures agree in a band (of buckets of 2 to ``largest``, as the operator defines) and whose shingles are
+    similar; ``similar_pairs`` is the exact way, without bands and buckets."""
     signed = streams.withColumn("sig", minhash(F.col("words"), hashes=bands * rows)).where(F.col("sig")[0].isNotNull())
     keyed = signed.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * rows + 1, rows)))).alias("band", "key"))
     full = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n").between(2, largest))
@@ -58,6 +66,21 @@ def lsh_pairs(streams: DataFrame, bands: int = 32, rows: int = 4, largest: int =
     return pairs.join(words["u"], "u").join(words["v"], "v").withColumn("similarity", F.round(X.jaccard(F.col("g_u"), F.col("g_v")), 6)).where(F.col("similarity") >= similar).select("u", "v", "similarity")
 
 
+def similar_pairs(streams: DataFrame, similar: float = 0.7, k: int = 5) -> DataFrame:
+    """All pairs (u, v) of ids whose shingle sets have the similarity: u, v, similarity. Two such sets share one of their rarest shingles, of
+    which the first n - ceil(similar * n) + 1 are looked at; only pairs that share one are compared."""
+    grams = streams.select("id", F.transform(X.shingles(F.col("words"), k), lambda g: F.xxhash64(g)).alias("grams")).where(F.size("grams") > 0)
+    each = grams.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counted = each.join(each.groupBy("gram").agg(F.count("*").alias("df")), "gram")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
+    first = counted.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(similar * F.col("n")) + 1).select("id", "gram", "n")
+    a, b = first.alias("a"), first.alias("b")
+    near_size = (F.col("a.n") >= similar * F.col("b.n")) & (F.col("b.n") >= similar * F.col("a.n"))
+    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & near_size).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    side = {s: grams.select(F.col("id").alias(s), F.col("grams").alias(f"g_{s}")) for s in "uv"}
+    return pairs.join(side["u"], "u").join(side["v"], "v").select("u", "v", X.jaccard(F.col("g_u"), F.col("g_v")).alias("similarity")).where(F.col("similarity") >= similar).withColumn("similarity", F.round("similarity", 6))
+
+
 def variations(copies: DataFrame) -> DataFrame:
     """copies: cluster_id, copy, words; of clusters whose copies have equally many. Positions where copies differ and all are literals, with the
     nearest identifier before that all share: cluster_id, at, label, distinct_values."""
@@ -92,6 +115,7 @@ def percent_change(before: Column, after: Column) -> Column:
 
 
 def budget_prefix(rows: DataFrame, cost: str, order: list[Column], budget: int) -> DataFrame:
-    """The rows, in order, until one does not fit: where the running cost stays within the budget."""
+    """The rows, in order, until one does not fit: where the running cost stays within the budget. Costs are whole numbers from 1 on, so no
+    more rows than the budget can fit, and only so many are summed."""
     running = F.sum(cost).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("running_cost", running).where(F.col("running_cost") <= budget)
+    return rows.orderBy(*order).limit(budget).withColumn("running_cost", running).where(F.col("running_cost") <= budget)

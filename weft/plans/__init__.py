@@ -1 +1 @@
-"""Report plans: what a report is made of.."""
+"""The report: options, orchestration, rendering, the sidecar and differences between two reports."""
