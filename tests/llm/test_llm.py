@@ -551,4 +551,4 @@ def test_pipeline(spark):
     import corpus_pipeline
 
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert got.count() > 0 and got.columns == ["doc_id", "ids"]
+    assert got.count() > 0 and got.columns == ["doc_id", "part", "row", "ids"]

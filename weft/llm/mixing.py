@@ -85,7 +85,8 @@ def _placed(docs: DataFrame, weights: tuple[float, ...], most_epochs: int, rows:
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if rows else []),
     )
-    spin = F.xxhash64("doc_id", "size")
+    # a hash that any SQL has, so that the order can be had elsewhere too
+    spin = F.conv(F.substring(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size")), 1, 15), 16, 10).cast("long")
     slim = cut(sized.withColumn("spin", spin).withColumn("bucket", F.pmod(spin, F.lit(BUCKETS))))
     buckets = cut(slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").cast("double").alias("source_size")), weights, most_epochs)

@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, hold_out:
     spin = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     share = F.when(F.col("quality") == 0, min(1.0, fit_rows / there.get(0, 1))).otherwise(min(1.0, fit_rows / there.get(1, 1)))
     # the sample has at most about 2 * fit_rows short rows, so that its side of the join is small by construction
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked.where(spin < share * 1_000_000)), "doc_id")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked.where(spin < share * 1_000_000)), "doc_id").dropDuplicates(["doc_id", "quality", "text"])
     weigh = {q: max(1.0, n / fit_rows) for q, n in there.items()}
     mean = sum(there.values()) / sum(n / weigh[q] for q, n in there.items())
 
