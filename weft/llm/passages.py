@@ -8,7 +8,7 @@ what it has read with owners of its own and sends only these on, so a seed that
 for each task; the owners are then matched in the task of the seed's hash. For each document and owner, matches on one
 diagonal merge into runs, and the runs are chained: a Fenwick tree over the owner's positions holds the best chains that end
 before, the expired ones dropped, under a cost for the words a gap skips. Chains that together cover a long enough part of the
-document are aligned word by word with the owner's text: along the runs' diagonals, each gap at its best switch from one to
+document, a share of it by seeds, are aligned word by word with the owner's text: along the runs' diagonals, each gap at its best switch from one to
 the next, the ends as far as they agree. Aligned chains of one document that touch join to passages, as long as the words that
 some chain matches, without those between chains, make the share of the whole.
 
@@ -33,15 +33,17 @@ from pyspark.sql import functions as F
 from weft.llm import textops as T
 from weft.llm.common import cut, held, parts_for, release
 
-K, WINDOW = 4, 5
+K, WINDOW = 4, 6
 #: Stands for a null id: after all others.
 LAST = (1 << 63) - 1
 #: Words of a passage at least; share of aligned words that agree; words between chains that still touch.
 LEAST, AGREE, TOUCH = 50, 0.75, 16
+#: Share of a stretch that seeds must cover before its words are compared at all.
+SEEDED = 0.25
 #: Words that a gap within a chain skips at most, and what each costs in anchor words.
 WIDEST_GAP, GAP_COST = 40, 0.4
 #: Words beyond a chain's ends that alignment looks at; extracts start and end at multiples of STEP words.
-FLANK, STEP = 24, 32
+FLANK, STEP = 24, 16
 #: Seeds that a task matches and packs at once, and bytes of seeds that a part holds about.
 FLUSH, PART_BYTES = 500_000, 16 << 20
 
@@ -286,6 +288,14 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.nda
         yield given()
 
 
+def seeded(runs: np.ndarray) -> np.ndarray:
+    """Which words from a chain's start to its end its runs cover."""
+    out = np.zeros(int(runs[:, 1].max() - runs[0, 0]), bool)
+    for a, b, _ in runs - np.array([runs[0, 0], runs[0, 0], 0]):
+        out[a:b] = True
+    return out
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for m in _by_document(batches):
@@ -296,11 +306,10 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(edges, edges[1:], strict=False):
             at = order[a:b]
             found += [(int(other[a]), c) for c in chain(merged_runs(m["word"][at], m["other_word"][at]))]
-        spans = joined([(int(c[0, 0]), int(c[:, 1].max())) for _, c in found], 2 * TOUCH)
-        wide = [(a, b) for a, b in spans if b - a >= LEAST - 2 * TOUCH]
-        for who, c in found:
-            a, b = int(c[0, 0]), int(c[:, 1].max())
-            if any(x <= a and b <= y for x, y in wide):
+        start, end = (np.array([x(c) for _, c in found]) for x in (lambda c: int(c[0, 0]), lambda c: int(c[:, 1].max())))
+        near = united(start, end, [seeded(c) for _, c in found], LEAST - 2 * TOUCH, SEEDED, 2 * TOUCH)
+        for (who, c), a, b, there in zip(found, start.tolist(), end.tolist(), near, strict=True):
+            if there:
                 o = int(c[0, 2])
                 oz = int((c[:, 2] + c[:, 1] - c[:, 0]).max())
                 low = [max(0, v - FLANK) // STEP * STEP for v in (a, o)]
@@ -343,10 +352,10 @@ def widest(start: np.ndarray, end: np.ndarray, gain: np.ndarray, least: int) ->
     return out
 
 
-def united(start: np.ndarray, end: np.ndarray, same: list[np.ndarray], least: int, agree: float) -> list[tuple[int, int] | None]:
-    """For each aligned part of a document, with the words of it that agree, the passage it belongs to."""
+def united(start: np.ndarray, end: np.ndarray, same: list[np.ndarray], least: int, agree: float, touch: int = TOUCH) -> list[tuple[int, int] | None]:
+    """For each part of a document, with the words of it that agree, the passage it belongs to."""
     out: list[tuple[int, int] | None] = [None] * len(start)
-    for a, b in joined(list(zip(start.tolist(), end.tolist(), strict=True)), TOUCH):
+    for a, b in joined(list(zip(start.tolist(), end.tolist(), strict=True)), touch):
         if b - a < least:
             continue
         at = np.flatnonzero((start >= a) & (end <= b))
@@ -438,7 +447,7 @@ def _spans(docs: DataFrame, least: int, agree: float) -> DataFrame:
             for i, j, data, offsets in T.slices(T.text_column(batch)):
                 starts, ends, bounds = T.words(data, offsets)
                 h = T.range_hash(data, starts, ends, lower=True)
-                rows = [(ids[r], g["a"], g["z"], h[bounds[r - i] : bounds[r - i + 1]][g["a"] : g["z"]].tobytes()) for r in range(i, j) for g in ranges[r]]
+                rows = [(ids[r], g["a"], g["z"], h[bounds[r - i] : bounds[r - i + 1]][g["a"] : g["z"]].astype(np.uint32).tobytes()) for r in range(i, j) for g in ranges[r]]
                 c = list(zip(*rows, strict=True))
                 if c:
                     yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in c[:3]), pa.array(c[3], pa.binary())], names=["doc", "a", "z", "words"])
@@ -448,7 +457,7 @@ def _spans(docs: DataFrame, least: int, agree: float) -> DataFrame:
             rows = []
             for doc, other, a, o, runs, x, y in zip(*(batch.column(c).to_pylist() for c in ("doc", "other", "a", "other_a", "runs", "words", "other_words")), strict=True):
                 at = np.frombuffer(runs, np.int64).reshape(-1, 3) - np.array([a, a, o])
-                for s, e, os, oe, same in agreeing(at, *align(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), at), agree):
+                for s, e, os, oe, same in agreeing(at, *align(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), at), agree):
                     rows.append((doc, other, s + a, e + a, os + o, oe + o, int(same.sum()), np.packbits(same).tobytes()))
             if rows:
                 columns = list(zip(*rows, strict=True))
