@@ -106,6 +106,42 @@ def test_hilbert(spark, docs, empty):
     assert sharding.hilbert_shards(empty).count() == 0
 
 
+def _curve(dims, bits):
+    """A plain walk down the levels of the same curve: corners in Gray order, entry and direction of each part by the usual recurrences."""
+    n = len(dims)
+    full = (1 << n) - 1
+    turn_left = lambda x, k: ((x << k % n) | (x >> (n - k % n))) & full
+    turn_right = lambda x, k: turn_left(x, n - k % n)
+    gray = lambda x: x ^ x >> 1
+    index, entry, turn = 0, 0, 0
+    for i in reversed(range(bits)):
+        corner = sum((d >> i & 1) << k for k, d in enumerate(dims))
+        seen = turn_right(corner ^ entry, turn + 1)
+        w = next(x for x in range(1 << n) if gray(x) == seen)
+        index = index << n | w
+        entry ^= turn_left(0 if w == 0 else gray(2 * ((w - 1) // 2)), turn + 1)
+        ones = lambda x: (x ^ (x + 1)).bit_length() - 1
+        turn = (turn + (0 if w == 0 else ones(w - 1 if w % 2 == 0 else w) % n) + 1) % n
+    return index
+
+
+def test_shards_follow_the_curve_and_prune(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sharding.hilbert_shards(d).join(d.select("doc_id", "lang", "source"), "doc_id").toPandas()
+    last = (1 << sharding.BITS) - 1
+    cell = {}
+    for c in ("lang", "source"):
+        values = sorted(v for v in got[c].unique() if v is not None)
+        cell[c] = {v: k * last // len(values) for k, v in enumerate(values)} | {None: last}
+    for r in got.itertuples():
+        size = min(last, max(0, int(np.floor(2 * np.log2(r.size / 8)))))
+        assert r.curve_index == _curve([cell["lang"][r.lang], cell["source"][r.source], size], sharding.BITS)
+    order = got.sort_values(["shard", "slot"])
+    assert order.curve_index.is_monotonic_increasing and (order["shard"].values == np.arange(len(got)) * 24 // len(got)).all()
+    held = got.groupby(["lang", "source"], dropna=False)["shard"].nunique()  # shards that a filter on both has to read
+    assert (held * got.groupby(["lang", "source"], dropna=False).size()).sum() / len(got) < 24 / 3
+
+
 def test_jaccard_components(docs, empty):
     sets = {}
     for row in table():
