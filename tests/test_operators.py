@@ -156,3 +156,14 @@ def test_similar_pairs_are_all_pairs(spark):
     streams = spark.createDataFrame(rows, "id string, words array<string>")
     assert {(x.u, x.v) for x in K.similar_pairs(streams).collect()} == expected
     assert {(x.u, x.v) for x in K.lsh_pairs(streams).collect()} <= expected
+
+
+def test_html_fragments(spark):
+    from weft.sources.html import html_fragments
+
+    pages = [(1, "<div><p>one two three<p>one two three</div><ul><li>a <b>b</b> c<li>a <b>x</b> c</ul>"), (2, "<p>" * 300 + "deep" + "<div>" * 300), (3, None), (4, "")]
+    rows = [r for r in html_fragments(spark.createDataFrame(pages, "page_id long, html string"), 1).collect()]
+    first = {r.seq: r for r in rows if r.page_id == 1}
+    assert [first[k].kind for k in sorted(first)] == ["p", "p", "div", "li", "li", "ul"] and [first[k].node_count for k in sorted(first)] == [4, 4, 9, 5, 5, 11]
+    assert first[0].l0 == first[1].l0 and first[3].l0 != first[4].l0 and first[3].l1 == first[4].l1 and first[0].parent_id == first[1].parent_id == 0 and first[2].parent_id == -1
+    assert (first[0].start_at, first[0].end_at) == (5, 21) and sum(r.page_id == 2 for r in rows) == 600 and not [r for r in rows if r.page_id > 2]
