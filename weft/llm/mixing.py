@@ -1,8 +1,7 @@
 """Mixing sources to target weights over a time-varying curriculum, with DataFrame operations only.
 
 Each source has a weight and a schedule, a piecewise linear multiplier over training time 0..1. Targets share all words by
-the integrated weights, at most ``most_epochs`` times a source's words, the excess reshared by weight until none is above
-(the water level is found in closed form from prefix sums over the sources). A source's cumulative demand is its target times
+the integrated weights, at most ``most_epochs`` times a source's words, the excess reshared by weight until none is above. A source's cumulative demand is its target times
 the integral of its schedule; inverting it at the words that stand before a document gives the document's training
 position, of its first use and, a lap over the source later, of each further one. Documents are range-sorted by position.
 
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import cut
+from weft.llm.sharding import ranked
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets of each source's documents.
@@ -55,25 +55,23 @@ def position(fraction: Column, schedule: Column, schedules: tuple = SCHEDULES) -
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most_epochs: float = MOST_EPOCHS) -> DataFrame:
-    """Adds rank, schedule, weight and target to one row per source with its source_size."""
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    ranked = sources.withColumn("rank", F.row_number().over(by_name))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") - 1) % len(weights) + 1)
-    # sources in the order in which a rising level fills them; below level L: full sizes before, L * weight from here on
-    full = most_epochs * F.col("source_size")
-    order = Window.orderBy(full / weight, "rank")
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum(full).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    from_here = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    return (
-        ranked.withColumn("weight", weight)
-        .withColumn("level", (F.sum("source_size").over(everything) - before) / from_here)
-        .withColumn("is_full", F.col("level") * F.col("weight") >= full)
-        .withColumn("water", F.max(F.when(~F.col("is_full"), F.col("level"))).over(everything))
-        .withColumn("target", F.when(F.col("is_full"), full).otherwise(F.col("water") * F.col("weight")).cast("double"))
-        .withColumn("schedule", (F.col("rank") - 1) % len(SCHEDULES))
-        .select("source", "source_size", "rank", "schedule", "weight", "target")
-    )
+    """Adds rank, schedule, weight and target to one row per source with its source_size. The rank comes from a range sort; the level
+    to which sources fill is found in a few rounds of sums, each of which takes those that it fills out of the next."""
+    placed = ranked(sources.withColumn("last", F.col("source").isNull()), ["last", "source"]).withColumn("rank", F.col("rank") + 1)
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    weighed = placed.select("source", "source_size", "rank", weight.alias("weight"), (most_epochs * F.col("source_size")).alias("full"))
+    total = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0.0))).first()[0]
+    level = 0.0
+    while True:
+        left = F.lit(level) * F.col("weight") < F.col("full")
+        filled, open_ = weighed.agg(F.coalesce(F.sum(F.when(~left, F.col("full"))), F.lit(0.0)), F.sum(F.when(left, F.col("weight")))).first()
+        higher = (total - filled) / open_ if open_ else level
+        if higher <= level:
+            break
+        level = higher
+    filling = F.lit(level) * F.col("weight")
+    target = F.when(filling >= F.col("full"), F.col("full")).otherwise(filling).cast("double")
+    return weighed.select("source", "source_size", "rank", ((F.col("rank") - 1) % len(SCHEDULES)).alias("schedule"), "weight", target.alias("target"))
 
 
 def _placed(docs: DataFrame, weights: tuple[float, ...], most_epochs: int, rows: bool) -> DataFrame:
