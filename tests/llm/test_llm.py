@@ -549,6 +549,54 @@ def test_language_accuracy(spark):
     assert (held.lang == held.lang_pred).mean() > 0.98
 
 
+def _plain_features(text):
+    """Four bins a word: the word, the pair with the one before, and the same of their shapes (runs of byte kinds)."""
+    mask = (1 << 64) - 1
+    one = lambda b, lower: int(T.range_hash(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]), lower=lower)[0])
+    mix = lambda x: int(T.mix(np.array([x & mask], np.uint64))[0])
+    out, before, shape_before = [], 0, 0
+    for w in WORD.findall(text or ""):
+        b = w.encode()
+        kinds = [int(quality_classifier.KIND[x]) for x in b]
+        shape = one(bytes(k for i, k in enumerate(kinds) if i == 0 or kinds[i - 1] != k), False) ^ 0x5A5A
+        word = one(b, True)
+        out.append([x % quality_classifier.BINS for x in (word, 77 if word == before else mix(before * 3 + word), shape, mix(shape_before * 5 + shape))])
+        before, shape_before = word, shape
+    return out or [[quality_classifier.BINS - 1] * 4]
+
+
+def test_classifier_scores_and_training_are_the_plain_ones():
+    r = np.random.default_rng(9)
+    weights = r.normal(0, 1, quality_classifier.BINS + 1).astype(np.float32)
+    texts = ["Buy NOW!!! buy now 12,5", "a a a b", "", None, "éa É #x # | word", " one\ntwo  one two "]
+    score = quality_classifier.scorer(weights)
+    for t, got in zip(texts, score(pa.array(texts))):
+        bins = _plain_features(t)
+        logit = float(weights[-1]) + quality_classifier.SCALE * sum(float(weights[b]) for w in bins for b in w) / len(bins)
+        assert abs(got - 1 / (1 + np.exp(-logit))) < 1e-6
+    rows = []
+    for k, t in enumerate(texts):
+        for _, _, data, offsets in T.slices(pa.array([t], pa.string())):
+            (at, x), = quality_classifier._examples(data, offsets)
+        bins = Counter(b for w in _plain_features(t) for b in w)
+        total = sum(bins.values()) / 4
+        assert dict(zip(at.tolist()[:-1], x.tolist()[:-1])) == pytest.approx({b: quality_classifier.SCALE * n / total for b, n in bins.items()}) and at[-1] == quality_classifier.BINS and x[-1] == 1
+        rows.append((at, x, k % 2, 1.0 + k))
+    z, n, alpha, beta, l1, l2 = Counter(), Counter(), 0.3, 1.0, 1e-4, 1e-3
+    weight = lambda b: 0.0 if abs(z[b]) <= l1 else ((1 if z[b] > 0 else -1) * l1 - z[b]) / ((beta + n[b] ** 0.5) / alpha + l2)
+    for _ in range(quality_classifier.EPOCHS):
+        for at, x, label, share in rows:
+            w = {int(b): weight(int(b)) for b in at}
+            p = 1 / (1 + np.exp(-sum(w[int(b)] * v for b, v in zip(at, x))))
+            for b, v in zip(at.tolist(), x.tolist()):
+                g = share * (p - label) * v
+                sigma = ((n[b] + g * g) ** 0.5 - n[b] ** 0.5) / alpha
+                z[b] += g - sigma * w[b]
+                n[b] += g * g
+    got = quality_classifier.train(rows)
+    assert all(abs(got[b] - weight(b)) < 1e-5 for b in z) and np.count_nonzero(got) == sum(weight(b) != 0 for b in z)
+
+
 def test_classifier(spark, docs, empty, labels):
     got = quality_classifier.quality_classifier(docs, labels).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
