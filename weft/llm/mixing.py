@@ -85,19 +85,17 @@ def _placed(docs: DataFrame, weights: tuple[float, ...], most_epochs: int, rows:
     )
     # a hash that any SQL has, so that the order can be had elsewhere too
     spin = F.conv(F.substring(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size")), 1, 15), 16, 10).cast("long")
-    slim = cut(sized.withColumn("spin", spin).withColumn("bucket", F.pmod(spin, F.lit(BUCKETS))))
-    buckets = cut(slim.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
+    bucket = F.pmod("spin", F.lit(BUCKETS))
+    # one key for the join and the window, so that documents are shuffled by it once; a null source has no like
+    key = F.concat_ws(":", bucket.cast("string"), F.col("source"))
+    slim = cut(sized.withColumn("spin", spin).withColumn("bucket", bucket).withColumn("key", F.when(F.col("source").isNull(), F.concat(F.lit("-"), key)).otherwise(key)))
+    buckets = cut(slim.groupBy("source", "bucket", "key").agg(F.sum("size").alias("bucket_size")))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").cast("double").alias("source_size")), weights, most_epochs)
     in_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0)))
-    facts = starts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "bucket", "bucket_start", "source_size", "target", "schedule")
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("spin", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        slim.withColumn("within", F.coalesce(F.sum("size").over(in_bucket), F.lit(0))).alias("d")
-        .join(facts.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.bucket") == F.col("f.bucket")))
-        .select("d.*", "bucket_start", F.col("source_size").cast("long").alias("source_size"), "target", "schedule")
-        .withColumn("start", F.col("bucket_start") + F.col("within"))
-    )
+    facts = starts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("key", "bucket_start", F.col("source_size").cast("long").alias("source_size"), "target", "schedule")
+    in_bucket = Window.partitionBy("key").orderBy("spin", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    return slim.join(facts, "key").withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
 
 
 def _wanted(lap: int) -> Column:
