@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from weft.llm import textops as T
 from weft.llm.common import cut, held, parts_for, release
 
-K, WINDOW = 4, 6
+K, WINDOW = 5, 8
 #: Stands for a null id: after all others.
 LAST = (1 << 63) - 1
 #: Words of a passage at least; share of aligned words that agree; words between chains that still touch.
@@ -43,7 +43,7 @@ SEEDED = 0.25
 #: Words that a gap within a chain skips at most, and what each costs in anchor words.
 WIDEST_GAP, GAP_COST = 40, 0.4
 #: Words beyond a chain's ends that alignment looks at; extracts start and end at multiples of STEP words.
-FLANK, STEP = 24, 16
+FLANK, STEP = 24, 8
 #: Seeds that a task matches and packs at once, and bytes of seeds that a part holds about.
 FLUSH, PART_BYTES = 500_000, 16 << 20
 
@@ -106,13 +106,14 @@ def seeds(texts: DataFrame, parts: int) -> DataFrame:
                 some = other[k : k + 100_000]
                 yield _seed_batch(int((len(every) + k) % parts), every[place[some]], word[some], every[place[owner[some]]], word[owner[some]], None, None)
             place, word, h = place[own], word[own], h[own]
-            part = ((h >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
+            part = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edges)):
                 at = order[edges[p] : edges[p + 1]]
                 used, local = np.unique(place[at], return_inverse=True)
-                yield _seed_batch(int(p), every[used], word[at], local.astype(np.int32), None, h[at], number[used])
+                # the part follows from the lower half of a hash; equal upper halves of different hashes only cost a look
+                yield _seed_batch(int(p), every[used], word[at], local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32), None, (h[at] >> np.uint64(32)).astype(np.uint32), number[used])
             ids.clear()
             numbers.clear()
             held.clear()
@@ -152,8 +153,8 @@ def _matches(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for docs, word, place, other_word, h, number in zip(*batch.columns[1:], strict=True):
             doc, word = np.frombuffer(docs.as_buffer(), np.int64), np.frombuffer(word.as_buffer(), np.int32)
             if h.is_valid:
-                at = np.frombuffer(place.as_buffer(), np.int32)
-                parts.append((np.frombuffer(number.as_buffer(), np.int64)[at], doc[at], word, np.frombuffer(h.as_buffer(), np.uint64)))
+                at = np.frombuffer(place.as_buffer(), np.uint16 if len(place.as_buffer()) < 4 * len(word) else np.uint32)
+                parts.append((np.frombuffer(number.as_buffer(), np.int64)[at], doc[at], word, np.frombuffer(h.as_buffer(), np.uint32)))
             else:
                 yield _match_batch(doc, word, np.frombuffer(place.as_buffer(), np.int64), np.frombuffer(other_word.as_buffer(), np.int32))
     if not parts:
