@@ -1,22 +1,25 @@
 """Substring dedup: fuzzy passages that repeat across documents, by collinear chaining of k-mer seeds.
 
 Seeds are k-word windows whose hash is the smallest of ``window`` neighbours, so any common run of window + k - 1 words has a
-common seed. A document has a key, the hash of its id and text; of the documents with a seed the one of the smallest id owns it
-(of null ids none but when all are, then the smallest key), and each place of the seed in another document gets one match with the owner, places and the owner's places paired in order (again
-from the owner's first when it has fewer), so a seed at any number of places yields a linear number of matches. A task first matches
-what it has read with owners of its own and sends only these on, so a seed that any share of all documents has is one document's
-for each task; the owners are then matched in the task of the seed's hash. For each document and owner, matches on one
-diagonal merge into runs, and the runs are chained: a Fenwick tree over the owner's positions holds the best chains that end
-before, the expired ones dropped, under a cost for the words a gap skips. Chains that together cover a long enough part of the
-document, a share of it by seeds, are aligned word by word with the owner's text: along the runs' diagonals, each gap at its best switch from one to
-the next, the ends as far as they agree. Aligned chains of one document that touch join to passages, as long as the words that
-some chain matches, without those between chains, make the share of the whole.
+common seed. A document has a key, the hash of its id and text. Of the documents with a seed the one of the smallest id owns it
+(one of a null id only if all are null), and each place of the seed in another document gets one match with the owner, its places
+paired with the owner's in order (again from the first when the owner has fewer), so a seed at any number of places yields a linear
+number of matches. A task first matches what it has read with owners of its own and sends only these on, so a seed that any share
+of all documents has is one document's for each task; the owners are then matched in the task of the seed's hash.
+
+For each document and owner, matches on one diagonal merge into runs, and the runs are chained: a Fenwick tree over the owner's
+positions holds the best chains that end before, the expired ones dropped, under a cost for the words a gap skips. Chains that
+together cover a long enough part of the document, a share of it by seeds, are aligned word by word with the owner's text: along the
+runs' diagonals, each gap at its best switch from one to the next, the ends as far as they agree. Aligned chains of one
+document that touch join to passages, as long as the words that some chain matches, without those between chains, make the share of
+the whole.
 
 Defined results: a null text, or one below k words, has no seeds; a passage must have ``least`` words or more, of which 3 in 4
-agree, and so must each aligned part (a chain that does not is split where it does); a repeat within one document is none (each copy of what another document owns is one);
-which of several owners a passage
-is aligned with follows from how the input is split into tasks; rows equal in id and text are one document, rows that share an id but not the text are documents of their own, and so are
-rows with a null id (the result names them by null); other columns are not read; columns named weft_key and weft_spans are reserved.
+agree, and so must each aligned part (a chain that does not is split where it does); a repeat within one document is none (each
+copy of what another document owns is one); which of several owners a passage is aligned with follows from how the input is split
+into tasks; rows equal in id and text are one document, rows that share an id but not the text are documents of their own, and so
+are rows with a null id (the result names them by null); other columns are not read; columns named weft_key and weft_spans are
+reserved.
 """
 
 from __future__ import annotations
