@@ -441,8 +441,9 @@ SPANS = ["doc", "start_word", "end_word", "n_parts", *PARTS[1:]]
 def _spans(docs: DataFrame, least: int, agree: float) -> DataFrame:
     """One row for each passage: the document's key, start and end, how many aligned parts it has, and the part of most words."""
     texts = with_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")).select(F.col("weft_key").alias("doc"), F.col("doc_id").alias("number"), "text")
+    # written, not held, so that the shuffles of seeds and matches can go while words are compared
     found = seeds(texts, parts_for(docs, PART_BYTES)).groupBy("part").applyInArrow(_matches, "doc long, word int, other long, other_word int")
-    chains = held(found.repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains, CHAIN_SCHEMA))
+    chains = cut(found.repartition("doc").sortWithinPartitions("doc").mapInArrow(_chains, CHAIN_SCHEMA))
     wanted = chains.select("doc", "a", "z").union(chains.select("other", "other_a", "other_z")).distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("ranges"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
