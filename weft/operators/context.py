@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text as X
+from weft.functions.hashing import hash_of
 
 
 def shared_imports(members: DataFrame, imports: DataFrame, ubiquity: float = 0.2) -> DataFrame:
@@ -50,8 +51,10 @@ def near_variants(streams: DataFrame, similar: float = 0.6, most: int = 3, k: in
 
 
 def minhash(words: Column, k: int = 5, hashes: int = 128) -> Column:
+    """The smallest of the shingles' hashes under each of ``hashes`` permutations, which are exclusive ors with fixed numbers."""
     grams = F.transform(X.shingles(words, k), lambda g: F.xxhash64(g))
-    return F.transform(F.array(grams), lambda known: F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda seed: F.array_min(F.transform(known, lambda g: F.xxhash64(g, seed)))))[0]
+    masks = F.array(*(F.lit(int(hash_of(f"mask {i}")[:16], 16) - (1 << 63)) for i in range(hashes)))
+    return F.transform(F.array(grams), lambda known: F.transform(masks, lambda mask: F.array_min(F.transform(known, lambda g: g.bitwiseXOR(mask)))))[0]
 
 
 def lsh_pairs(streams: DataFrame, bands: int = 32, rows: int = 4, largest: int = 40, similar: float = 0.7) -> DataFrame:
