@@ -158,6 +158,22 @@ def test_similar_pairs_are_all_pairs(spark):
     assert {(x.u, x.v) for x in K.lsh_pairs(streams).collect()} <= expected
 
 
+def test_similar_pairs_by_both_ways(spark):
+    """Lines that share frequent shingles are found whatever is frequent; long ones fill the bits; rows may hold one text."""
+    import random
+
+    r = random.Random(5)
+    rows = []
+    for k in range(60):
+        base = [r.choice("abcdefgh") for _ in range(r.choice([5, 6, 9, 40, 300]))]
+        rows += [(f"{k}-{c}", " ".join(w if r.random() > 0.02 else "x" for w in base)) for c in range(4)]
+    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    expected = {(a, b): round(len(grams[a] & grams[b]) / len(grams[a] | grams[b]), 6) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.7 * len(grams[a] | grams[b])}
+    streams = spark.createDataFrame(rows, "id string, stream string")
+    for few in (1, 3, 256):
+        assert {(x.u, x.v): x.similarity for x in K.similar_pairs(streams, few=few, words=F.split("stream", " ")).collect()} == expected
+
+
 def test_html_fragments(spark):
     from weft.sources.html import html_fragments
 
