@@ -174,6 +174,16 @@ def test_similar_pairs_by_both_ways(spark):
         assert {(x.u, x.v): x.similarity for x in K.similar_pairs(streams, few=few, words=F.split("stream", " ")).collect()} == expected
 
 
+def test_html_rows_are_handed_on_in_parts():
+    import pandas as pd
+
+    from weft.sources import html as parser
+
+    frame = pd.DataFrame({"page_id": range(30), "html": ["<div>" + "<p>a b</p>" * 999 + "</div>"] * 30})
+    parts = list(parser._parse(iter([frame.iloc[:10], frame.iloc[10:]])))
+    assert max(map(len, parts)) <= parser.ROWS and sum(map(len, parts)) == 30_000 and sorted(set(pd.concat(parts)["page_id"])) == list(range(30))
+
+
 def test_html_fragments(spark):
     from weft.sources.html import html_fragments
 
