@@ -193,3 +193,13 @@ def test_html_fragments(spark):
     assert [first[k].kind for k in sorted(first)] == ["p", "p", "div", "li", "li", "ul"] and [first[k].node_count for k in sorted(first)] == [4, 4, 9, 5, 5, 11]
     assert first[0].l0 == first[1].l0 and first[3].l0 != first[4].l0 and first[3].l1 == first[4].l1 and first[0].parent_id == first[1].parent_id == 0 and first[2].parent_id == -1
     assert (first[0].start_at, first[0].end_at) == (5, 21) and sum(r.page_id == 2 for r in rows) == 600 and not [r for r in rows if r.page_id > 2]
+
+
+def test_lines_are_hashed_once_for_a_query(spark):
+    """What reads copies and clusters of lines reads them from one written table, not from the documents again for each."""
+    from weft import catalogue
+
+    made = catalogue.queries()
+    for name in ("cluster_rerank", "field_drift", "redundant_coverage", "recoverable_score", "variation_labels"):
+        plan = made[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "parquet" not in plan, name
