@@ -203,3 +203,35 @@ def test_lines_are_hashed_once_for_a_query(spark):
     for name in ("cluster_rerank", "field_drift", "redundant_coverage", "recoverable_score", "variation_labels"):
         plan = made[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "parquet" not in plan, name
+
+
+def test_lsh_pairs_are_those_of_plain_signatures(spark):
+    """Buckets of 2 to ``largest`` in a band, by signatures made one hash at a time; the lines are signed once and their bands move once."""
+    import random
+    from collections import defaultdict
+
+    from weft.functions.hashing import hash_of
+
+    r = random.Random(9)
+    rows = []
+    for k in range(40):
+        base = [r.choice("abcdefgh") for _ in range(r.choice([5, 6, 9, 40, 300]))]
+        rows += [(f"{k}-{c}", " ".join(w if r.random() > 0.03 else "x" for w in base)) for c in range(r.choice([2, 5]))]
+    rows += [(f"many-{c:02}", " ".join(["q"] * 6 + ["z"] * (c + 5))) for c in range(12)] + [("short", "a b c")]
+    grams = {i: {" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    every = sorted(set().union(*grams.values()))
+    hashed = {x.g: x.h for x in spark.createDataFrame([(g,) for g in every], "g string").select("g", F.xxhash64("g").alias("h")).collect()}
+    masks = [int(hash_of(f"mask {k}")[:16], 16) - (1 << 63) for k in range(128)]
+    streams = spark.createDataFrame(rows, "id string, stream string")
+    for largest in (40, 4):
+        buckets = defaultdict(list)
+        for i in sorted(i for i in grams if grams[i]):
+            sig = [min(hashed[g] ^ m for g in grams[i]) for m in masks]
+            for b in range(32):
+                buckets[b, *sig[4 * b : 4 * b + 4]].append(i)
+        agreed = {(u, v) for of in buckets.values() if 2 <= len(of) <= largest for u in of for v in of if u < v}
+        alike = {(u, v): len(grams[u] & grams[v]) / len(grams[u] | grams[v]) for u, v in agreed}
+        found = K.lsh_pairs(streams, largest=largest, words=F.split("stream", " "))
+        assert {(x.u, x.v): x.similarity for x in found.collect()} == {pair: round(s, 6) for pair, s in alike.items() if s >= 0.7} != {}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1, plan
