@@ -235,3 +235,25 @@ def test_lsh_pairs_are_those_of_plain_signatures(spark):
         assert {(x.u, x.v): x.similarity for x in found.collect()} == {pair: round(s, 6) for pair, s in alike.items() if s >= 0.7} != {}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1, plan
+
+
+def test_near_variants_are_the_best_of_all(spark):
+    """Against all pairs, with a shingle that most streams share; pairs are never made of the shingles that two streams happen to share."""
+    import random
+
+    from weft import catalogue
+
+    r = random.Random(4)
+    rows = []
+    for k in range(70):
+        base = [r.choice("abcdefgh") for _ in range(r.choice([4, 5, 9, 20]))]
+        rows += [(f"{k}-{c}", r.randrange(9), at := r.randrange(40), at + 9, ["h"] * 6 * (k % 2) + [w if r.random() > 0.05 else "x" for w in base]) for c in range(3)]
+    grams = {x[0]: {tuple(x[4][k : k + 5]) for k in range(len(x[4]) - 4)} for x in rows}
+    expected = {}
+    for a in rows:
+        near = [(-round(len(grams[a[0]] & grams[b[0]]) / len(grams[a[0]] | grams[b[0]]), 6), b[0]) for b in rows if a != b and grams[a[0]] & grams[b[0]] and not (a[1] == b[1] and a[2] < b[3] and b[2] < a[3])]
+        expected |= {(a[0], i): (-s, place) for place, (s, i) in enumerate(sorted(x for x in near if x[0] <= -0.6)[:3], 1)}
+    streams = spark.createDataFrame(rows, "id string, doc_id long, start_at long, end_at long, words array<string>")
+    assert {(x.id, x.variant): (x.similarity, x.place) for x in K.near_variants(streams).collect()} == expected != {}
+    plan = catalogue.queries()["near_variants"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "array_join" not in plan
