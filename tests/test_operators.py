@@ -257,3 +257,32 @@ def test_near_variants_are_the_best_of_all(spark):
     assert {(x.id, x.variant): (x.similarity, x.place) for x in K.near_variants(streams).collect()} == expected != {}
     plan = catalogue.queries()["near_variants"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan and "array_join" not in plan
+
+
+def test_module_graph_is_grouped_in_one_pass(spark):
+    """Against plain sums; modules by a table or by a rule; votes are summed over targets, ties go to the smallest; lines are read for bindings and offers only."""
+    import random
+    from collections import Counter
+
+    from weft import catalogue
+    from weft.operators import imports as I
+
+    r = random.Random(6)
+    pairs = {(f"{r.choice('abc')}/{r.randrange(5)}", f"{r.choice('abc')}/{r.randrange(5)}") for _ in range(90)}
+    detail = [(p, t, r.randrange(3), 0, r.random() < 0.3, r.randrange(2), r.choice([None, "x/1", "y/2", "c/3"])) for p, t in sorted(pairs) if p != t]
+    frame = spark.createDataFrame(detail, "path string, target string, symbols long, erased long, erasable boolean, pass_through long, origin string")
+    expected = {}
+    for s, t in {(d[0][0], d[1][0]) for d in detail if d[0][0] != d[1][0]}:
+        of = [d for d in detail if (d[0][0], d[1][0]) == (s, t)]
+        weights, votes = Counter(), Counter(d[6] for d in of if d[6])
+        for d in of:
+            weights[d[1]] += max(d[2], 1)
+        top = min((-w, x) for x, w in weights.items())
+        expected[s, t] = (sum(d[2] for d in of), sorted({d[0] for d in of}), top[1], -top[0], sum(d[5] for d in of), min(((-n, o) for o, n in votes.items()), default=(0, None))[1], all(d[4] for d in of))
+    of = spark.createDataFrame([(f"{m}/{k}", m) for m in "abc" for k in range(5)] + [("x/1", "x"), ("y/2", "y")], "path string, module string")
+    for how in (of, lambda path: F.substring(path, 1, 1)):
+        made = I.module_graph(frame, how)
+        assert {(x.src, x.dst): (x.weight, x.files, x.top_target, x.top_weight, x.pass_through, x.origin, x.type_only) for x in made.collect()} == expected
+    for name in ("module_graph",):
+        plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parquet") <= 3, name

@@ -5,7 +5,9 @@ bindings: path, declaration_id, specifier, name, local, erased, binds, reexport.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text as X
@@ -40,10 +42,23 @@ def check_owned(paths: DataFrame, module_of: DataFrame) -> None:
         raise ValueError(f"{lone[0]['path']} is not a file of the project")
 
 
-def mode(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, value: the most frequent value that is not null, ties to the smallest."""
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("weft_n"))
-    return counted.groupBy(*keys).agg(F.min(F.struct((-F.col("weft_n")).alias("n"), F.col(value).alias("v")))["v"].alias(value))
+def most_frequent(votes: Column) -> Column:
+    """Of an array of structs (v, n), the v with the largest sum of n, ties to the smallest; null for none. One pass over the sorted array."""
+    none = F.struct(F.lit(0).cast("long").alias("most"), F.lit(None).cast("string").alias("best"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("v"))
+
+    def add(acc: Column, x: Column) -> Column:
+        n = x["n"] + F.when(acc["v"] == x["v"], acc["n"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(F.greatest(acc["most"], n).alias("most"), F.when(n > acc["most"], x["v"]).otherwise(acc["best"]).alias("best"), n.alias("n"), x["v"].alias("v"))
+
+    return F.aggregate(F.sort_array(votes), none, add, lambda acc: acc["best"])
+
+
+def with_module(rows: DataFrame, path: str, module: str, module_of: DataFrame | Callable[[Column], Column]) -> DataFrame:
+    """Adds the module of the file in column ``path``. module_of: a table (path, module), whose lacking files drop out, or a rule that makes the module of
+    a path and moves no rows."""
+    if callable(module_of):
+        return rows.withColumn(module, module_of(F.col(path)))
+    return rows.join(module_of.select(F.col("path").alias(path), F.col("module").alias(module)), path)
 
 
 def pure_forwarders(bindings: DataFrame) -> DataFrame:
@@ -63,37 +78,41 @@ def export_origins(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_origins(resolved: DataFrame) -> DataFrame:
     """Adds origin: the file that the target has the imported name from, by name first, else by its only star; null where it is
     the target's own, and for bindings of all names."""
-    named, stars = export_origins(resolved)
-    by_name = named.select(F.col("path").alias("target"), F.col("local").alias("name"), F.col("origin").alias("of_name"))
-    by_star = stars.select(F.col("path").alias("target"), F.col("origin").alias("of_star"))
-    joined = resolved.join(by_name, ["target", "name"], "left").join(by_star, "target", "left")
+    star = F.col("name") == "*"
+    both = star.eqNullSafe(F.col("local") == "*")  # of the others, no name can be told
+    offers = resolved.where("reexport").where(both & F.col("name").isNotNull() & F.col("local").isNotNull()).groupBy(F.col("path").alias("target"), F.col("local").alias("name")).agg(F.min("target").alias("of_name"), F.max("target").alias("last"))
+    by_star = offers.where(star & (F.col("of_name") == F.col("last"))).select("target", F.col("of_name").alias("of_star"))
+    # names first: what is left lies by target, where import_detail and module_graph need it
+    joined = resolved.join(offers.where(~star).drop("last"), ["target", "name"], "left").join(by_star, "target", "left")
     return joined.select(*resolved.columns, F.when(F.coalesce(F.col("name") != "*", F.lit(False)), F.coalesce("of_name", "of_star")).alias("origin"))
 
 
 def import_detail(bindings: DataFrame) -> DataFrame:
     """bindings: path, target, erased, binds, origin (null: the target's own). By file and target, itself left out: symbols, erased,
     erasable (there are symbols, and all are erased), pass_through, and the commonest origin."""
-    rows = bindings.where("path <> target")
-    made = rows.groupBy("path", "target").agg(
-        F.count_if(F.col("binds")).alias("symbols"), F.count_if(F.col("binds") & F.col("erased")).alias("erased"), F.count_if(F.col("binds") & F.col("origin").isNotNull()).alias("pass_through"),
-    )
-    return made.join(mode(rows, ["path", "target"], "origin"), ["path", "target"], "left").select("path", "target", "symbols", "erased", ((F.col("symbols") > 0) & (F.col("erased") == F.col("symbols"))).alias("erasable"), "pass_through", "origin")
+    counts = {"symbols": F.col("binds"), "erased": F.col("binds") & F.col("erased"), "pass_through": F.col("binds") & F.col("origin").isNotNull()}
+    each = bindings.where("path <> target").groupBy("path", "target", "origin").agg(F.count("*").alias("n"), *(F.count_if(c).alias(k) for k, c in counts.items()))
+    commonest = F.min(F.when(F.col("origin").isNotNull(), F.struct((-F.col("n")).alias("n"), "origin")))["origin"]
+    made = each.groupBy("path", "target").agg(*(F.sum(k).alias(k) for k in counts), commonest.alias("origin"))
+    return made.select("path", "target", "symbols", "erased", ((F.col("symbols") > 0) & (F.col("erased") == F.col("symbols"))).alias("erasable"), "pass_through", "origin")
 
 
-def module_graph(detail: DataFrame, module_of: DataFrame, mode_: str = "include") -> DataFrame:
-    """detail: as import_detail; module_of: path, module. One row per pair of different modules: weight, erased, n_files, files (that
+def module_graph(detail: DataFrame, module_of: DataFrame | Callable[[Column], Column], mode_: str = "include") -> DataFrame:
+    """detail: as import_detail; module_of: path, module, or a rule (see with_module). One row per pair of different modules: weight, erased, n_files, files (that
     import, sorted), top_target and top_weight (an import counts one at least), pass_through, origin (the commonest of the files'
-    and targets'), type_only. mode_: include, exclude or only type-only edges."""
-    src = module_of.select("path", F.col("module").alias("src"))
-    dst = module_of.select(F.col("path").alias("target"), F.col("module").alias("dst"))
-    rows = detail.join(src, "path").join(dst, "target").where("src <> dst")
+    and targets'), type_only. mode_: include, exclude or only type-only edges.
+
+    What is summed for a target stands in windows by target beside each row, so that a pair of modules is grouped in one pass."""
     by = ["src", "dst"]
-    made = rows.groupBy(*by).agg(
-        F.sum("symbols").alias("weight"), F.sum("erased").alias("erased"), F.sort_array(F.collect_set("path")).alias("files"), F.sum("pass_through").alias("pass_through"), F.bool_and("erasable").alias("type_only"),
+    rows = with_module(with_module(detail, "path", "src", module_of), "target", "dst", module_of).where("src <> dst")
+    vote = Window.partitionBy(*by, "target", "origin")
+    voted = F.when(F.col("origin").isNotNull() & (F.row_number().over(vote.orderBy("path")) == 1), F.struct(F.col("origin").alias("v"), F.count("*").over(vote).alias("n")))
+    each = rows.withColumn("vote", voted).withColumn("w", F.sum(F.greatest("symbols", F.lit(1))).over(Window.partitionBy(*by, "target")))
+    made = each.groupBy(*by).agg(
+        F.sum("symbols").alias("weight"), F.sum("erased").alias("erased"), F.sort_array(F.collect_set("path")).alias("files"), F.min(F.struct((-F.col("w")).alias("w"), "target")).alias("top"),
+        F.sum("pass_through").alias("pass_through"), most_frequent(F.collect_list("vote")).alias("origin"), F.bool_and("erasable").alias("type_only"),
     )
-    each = rows.groupBy(*by, "target").agg(F.sum(F.greatest("symbols", F.lit(1))).alias("w"))
-    top = each.groupBy(*by).agg(F.min(F.struct((-F.col("w")).alias("w"), "target")).alias("top"))
-    out = made.join(top, by).join(mode(rows, by, "origin"), by, "left").select("src", "dst", "weight", "erased", F.size("files").alias("n_files"), "files", F.col("top.target").alias("top_target"), (-F.col("top.w")).alias("top_weight"), "pass_through", "origin", "type_only")
+    out = made.select("src", "dst", "weight", "erased", F.size("files").alias("n_files"), "files", F.col("top.target").alias("top_target"), (-F.col("top.w")).alias("top_weight"), "pass_through", "origin", "type_only")
     return {"include": out, "exclude": out.where("not type_only"), "only": out.where("type_only")}[mode_]
 
 
