@@ -280,9 +280,12 @@ def test_module_graph_is_grouped_in_one_pass(spark):
         top = min((-w, x) for x, w in weights.items())
         expected[s, t] = (sum(d[2] for d in of), sorted({d[0] for d in of}), top[1], -top[0], sum(d[5] for d in of), min(((-n, o) for o, n in votes.items()), default=(0, None))[1], all(d[4] for d in of))
     of = spark.createDataFrame([(f"{m}/{k}", m) for m in "abc" for k in range(5)] + [("x/1", "x"), ("y/2", "y")], "path string, module string")
+    gone = {}
     for how in (of, lambda path: F.substring(path, 1, 1)):
         made = I.module_graph(frame, how)
         assert {(x.src, x.dst): (x.weight, x.files, x.top_target, x.top_weight, x.pass_through, x.origin, x.type_only) for x in made.collect()} == expected
-    for name in ("module_graph",):
+        gone[callable(how)] = [tuple(x) for x in I.dissolves(made, how, 0.4).select("src", "dst", "origin", "origin_module").collect()]
+    assert gone[True] == gone[False] != []
+    for name in ("module_graph", "dissolves"):
         plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("parquet") <= 3, name

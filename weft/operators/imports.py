@@ -121,11 +121,11 @@ def modules(module_of: DataFrame) -> DataFrame:
     return module_of.groupBy(F.col("module").alias("node")).agg(F.count("*").alias("files"))
 
 
-def dissolves(edges: DataFrame, module_of: DataFrame, share: float = 0.8) -> DataFrame:
+def dissolves(edges: DataFrame, module_of: DataFrame | Callable[[Column], Column], share: float = 0.8) -> DataFrame:
     """Edges that mostly forward what a third module has: at least ``share`` of the weight passes through, and the commonest origin is a
     file of another module than the edge's target. Adds origin_module; the heaviest first."""
-    origin = module_of.select(F.col("path").alias("origin"), F.col("module").alias("origin_module"))
-    found = edges.where((F.col("weight") > 0) & (F.col("pass_through") >= share * F.col("weight"))).join(origin, "origin").where("origin_module <> dst")
+    passing = edges.where((F.col("weight") > 0) & (F.col("pass_through") >= share * F.col("weight")) & F.col("origin").isNotNull())
+    found = with_module(passing, "origin", "origin_module", module_of).where("origin_module <> dst")
     return found.orderBy(F.desc("weight"), "src", "dst")
 
 
